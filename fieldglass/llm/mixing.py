@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, sized, stored, text_or_empty, uniform
+from .common import WORD, sized, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Most copies of a document, and most times its size that a source gives.
@@ -64,14 +64,32 @@ def pair(done: str, rest: str) -> str:
     return f"named_struct('done', {done}, 'rest', {rest})"
 
 
+def _root(seed: int) -> str:
+    """SQL that makes the last fraction of each size class of a source integral: (left, later, out) over items, largest first.
+
+    `left` is the mass that is still to be given and `later` the size of the items that follow. An item is taken if that
+    brings `left` nearer to what the later items can give, 0 to `later`; where both choices can end even, it is drawn.
+    """
+    take = "greatest(0D, x.size - acc.left, acc.left - x.size - (acc.later - x.size))"
+    skip = "greatest(0D, acc.left - (acc.later - x.size))"
+    drawn = f"(xxhash64(x.key, x.p, {seed}L) & 9007199254740991L) / 9007199254740992D < x.p"
+    let = f"named_struct('take', {take}, 'skip', {skip}, 'drawn', {drawn})"
+    p = f"element_at(transform(array({let}), q -> CASE WHEN q.take < q.skip OR (q.take = q.skip AND q.drawn) THEN 1D ELSE 0D END), 1)"
+    step = f"element_at(transform(array({p}), v -> named_struct('left', acc.left - v * x.size, 'later', acc.later - x.size, 'out', concat(acc.out, array(named_struct('key', x.key, 'id', x.id, 'size', x.size, 'base', x.base, 'p', v))))), 1)"
+    mass = "aggregate(items, 0D, (n, x) -> n + x.p * x.size)"
+    size = "aggregate(items, 0L, (n, x) -> n + x.size)"
+    return f"aggregate(items, named_struct('left', {mass}, 'later', {size}, 'out', cast(array() AS array<{_ITEM}>)), (acc, x) -> {step}, acc -> acc.out)"
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, **to) -> DataFrame:
     """One row per row of `docs`: id, size, source_size, target, taken, copies, key.
 
     A document's size is its number of words; its source's target / size is the expected number of copies, of which the whole
-    part is given and the fraction rounded by the pivotal method: leaves of the tree round about LEAF documents each, hand
-    one fractional document on, and inner nodes do the same for FAN_IN residuals, until one fraction per source is left, which
-    is drawn. So the words taken from a source differ from its target by less than one document. A leaf is chosen by a hash of
-    the document, so hot sources spread over many leaves, and reruns agree whatever the partitioning.
+    part is given and the fraction rounded by the pivotal method: leaves of the tree round about LEAF documents of a source and
+    size class (powers of two) each and hand one fractional document on, and inner nodes do the same for FAN_IN residuals,
+    until one fraction per source and class is left. Those few are rounded together, largest first, so the words taken from a
+    source differ from its target by about its smallest documents. A leaf is chosen by a hash of the document, so hot sources
+    spread over many leaves, and reruns agree whatever the partitioning.
 
     Null texts have size 0, take no words, and get the whole part of the copies; a null source is a source of its own, the last.
     Sources without words have target 0. Rows that repeat an id and a text are rounded one by one. No rows give no rows. Ids are
@@ -82,25 +100,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sizes = stored(sizes, "sizes")
     per = stored(targets(sizes, **to), "targets")
-    most_rows = per.agg(F.max("n")).head()[0] or 0
     aim = per.select(F.col("source").alias("of"), "n", "source_size", "target")
     rate = F.coalesce(F.expr("try_divide(target, source_size)"), F.lit(0.0))
     rows = sizes.join(sized(aim), F.col("source").eqNullSafe(F.col("of"))).withColumn("base", F.floor(rate + 1e-12)).withColumn("p", F.greatest(rate - F.col("base"), F.lit(0.0)))
     fraction = (F.col("p") > 1e-12) & (F.col("size") > 0)
+    part = rows.where(fraction).withColumn("class", F.floor(F.log2("size")).cast("int"))
+    classes = stored(part.groupBy(F.col("source").alias("in_source"), F.col("class").alias("in_class")).agg(F.count("*").alias("in_n")), "classes")
+    part = part.join(sized(classes), F.col("source").eqNullSafe(F.col("in_source")) & (F.col("class") == F.col("in_class")))
     item = F.struct("key", "id", "size", "base", "p")
-    groups = F.ceil(F.col("n") / LEAF)
-    node = rows.where(fraction).select("source", F.pmod(F.xxhash64("key", F.lit(seed)), groups).alias("node"), item.alias("item"))
-    levels, width = [], math.ceil(most_rows / LEAF)
+    node = part.select("source", "class", F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("in_n") / LEAF)).alias("node"), item.alias("item"))
+    levels, width = [], math.ceil((classes.agg(F.max("in_n")).head()[0] or 0) / LEAF)
     while True:
-        folded = node.groupBy("source", "node").agg(F.sort_array(F.collect_list("item")).alias("items")).select("source", "node", F.expr(_fold(seed)).alias("f"))
-        folded = stored(folded.select("source", "node", "f.*"), f"level-{len(levels)}")
+        folded = node.groupBy("source", "class", "node").agg(F.sort_array(F.collect_list("item")).alias("items")).select("source", "class", "node", F.expr(_fold(seed)).alias("f"))
+        folded = stored(folded.select("source", "class", "node", "f.*"), f"level-{len(levels)}")
         levels.append(folded.select("source", F.explode("out").alias("item")).select("source", "item.*"))
         if width <= 1:
             break
-        node = folded.select("source", F.floor(F.col("node") / FAN_IN).alias("node"), F.col("cur").alias("item"))
+        node = folded.select("source", "class", F.floor(F.col("node") / FAN_IN).alias("node"), F.col("cur").alias("item"))
         width = math.ceil(width / FAN_IN)
-    root = folded.select("source", "cur.*").withColumn("p", F.when(uniform(F.col("key"), F.lit(seed + 1)) < F.col("p"), 1.0).otherwise(0.0))
-    done = root
+    last = F.reverse(F.sort_array(F.collect_list(F.struct("cur.size", "cur.key", "cur.id", "cur.base", "cur.p"))))
+    done = folded.groupBy("source").agg(last.alias("items")).select("source", F.explode(F.expr(_root(seed))).alias("item")).select("source", "item.*")
     for level in levels:
         done = done.unionByName(level)
     done = done.join(sized(aim), F.col("source").eqNullSafe(F.col("of")))
