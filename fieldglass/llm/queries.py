@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality
+from . import binary_output, chat, exact_dedup, mixing, quality, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": sentencepiece_codec.op1,
+        "op3_binary_output": binary_output.op3,
+        "op4_chat_format": chat.op4,
         "op5_mixing": mixing.op5,
         "op8_quality": quality.op8,
         "op9_exact_dedup": exact_dedup.op9,
@@ -18,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op4_chat_format": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
