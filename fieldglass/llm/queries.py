@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, chat, exact_dedup, mixing, quality, sentencepiece_codec
+from . import binary_output, chat, exact_dedup, minhash, mixing, quality, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5,
         "op8_quality": quality.op8,
         "op9_exact_dedup": exact_dedup.op9,
+        "op10_minhash": minhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op4_chat_format": chat.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_minhash": minhash.SQL}
