@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, chat, exact_dedup, minhash, mixing, quality, sentencepiece_codec
+from . import binary_output, chat, exact_dedup, html_extract, licences, minhash, mixing, quality, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_codec.op1,
+        "op2_html_extract": html_extract.op2,
         "op3_binary_output": binary_output.op3,
         "op4_chat_format": chat.op4,
         "op5_mixing": mixing.op5,
+        "op6_licences": licences.op6,
         "op8_quality": quality.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_minhash": minhash.op10,
