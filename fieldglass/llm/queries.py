@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, chat, exact_dedup, html_extract, licences, minhash, mixing, quality, sentencepiece_codec
+from . import binary_output, chat, exact_dedup, html_extract, licences, minhash, mixing, quality, sentencepiece_codec, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": chat.op4,
         "op5_mixing": mixing.op5,
         "op6_licences": licences.op6,
+        "op7_suffix_dedup": suffix_dedup.op7,
         "op8_quality": quality.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_minhash": minhash.op10,
