@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, work_path
-from .pieces import UnitCodec, chunks, column
+from .pieces import UnitCodec, chunks
 
 #: Fixed values of the format. A record is: length (8 bytes), masked CRC-32 of those 8 (4), payload, its masked CRC-32 (4).
 #: A payload is: 1 if the id is null else 0 (1 byte), id (8), bytes of an id of a token (1), the token ids; all little-endian.
@@ -75,14 +76,27 @@ def read_record(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[UnitCodec, int]:
-    """Units of a byte-level BPE: a space before a character that isn't white space always starts a new word."""
+    """Units of a byte-level BPE: single white space always starts a new word. One thread: the tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # what a text says is ordinary text
     width = 2 if max(tok.get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
-    pack = lambda texts: [np.array(e.ids, f"<u{width}").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
-    return UnitCodec(lambda t, odd=re.compile(r" (?:\s|$)|\s ").search: not t or bool(odd(t)), pack, lambda units: pack([" " + u for u in units]), pack), width
+    pack = lambda texts: [array("H" if width == 2 else "I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    starts = np.zeros(tok.get_vocab_size(), bool)
+    starts[[i for t, i in tok.get_vocab().items() if t[0] == "\u0120"]] = True
+
+    def rest(units: list[str]) -> list[bytes]:
+        """Units after a space, in one text: a token that holds the space starts the next unit."""
+        ids = np.array(tok.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, f"<u{width}")
+        at = np.flatnonzero(starts[ids])
+        if len(at) != len(units):
+            return pack([" " + u for u in units])
+        data, at = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    return UnitCodec(f"<u{width}", pack, rest, pack), width
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -104,12 +118,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         data = index = None
         try:
             for batch in batches:
-                ids, at = batch.column(0).to_pylist(), 0
-                for texts in chunks(column(batch, "text")):
+                docs, at = batch.column(0).to_pylist(), 0
+                for texts in chunks(batch.column(1)):
                     records, entries = [], []
-                    for doc, tokens in zip(ids[at : at + len(texts)], codec.encode(texts), strict=True):
-                        n = len(tokens) // width + 1
-                        records.append(frame(b"".join((struct.pack(HEAD, doc is None, doc or 0, width), tokens, end))))
+                    ids, bounds = codec.encode(texts)
+                    packed, bounds = ids.tobytes(), (bounds * width).tolist()
+                    for doc, a, b in zip(docs[at : at + len(texts)], bounds[:-1], bounds[1:], strict=True):
+                        n = (b - a) // width + 1
+                        records.append(frame(b"".join((struct.pack(HEAD, doc is None, doc or 0, width), packed[a:b], end))))
                         entries.append(struct.pack(ENTRY, doc is None, doc or 0, offset, n))
                         offset, n_records, n_tokens = offset + len(records[-1]), n_records + 1, n_tokens + n
                         first = first or [doc]

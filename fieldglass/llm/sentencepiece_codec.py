@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import UnitCodec, chunks, column
+from .pieces import UnitCodec, chunks
 
 MARKER = "▁"
 #: Fixed values of the model format: piece types, and the model types of the trainer specification.
@@ -35,8 +36,8 @@ class Model:
 
     @property
     def splits_at_spaces(self) -> bool:
-        """No piece joins a marker to what stands before it, and no normaliser looks past a space."""
-        return not self.charsmap and self.add_dummy_prefix and self.escape_whitespaces and not self.remove_extra_whitespaces and not any(MARKER in p.lstrip(MARKER) or " " in p for p in self.pieces)
+        """No piece joins a marker to what stands before it or holds a line feed, and no normaliser looks past white space."""
+        return not self.charsmap and self.add_dummy_prefix and self.escape_whitespaces and not self.remove_extra_whitespaces and not any(MARKER in p.lstrip(MARKER) or " " in p or "\n" in p for p in self.pieces)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -132,25 +133,34 @@ class Codec:
 
             self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.differ: set[str] = set()
-        odd = (lambda t: not t or t[0] == " " or t[-1] == " " or "  " in t) if self.model.splits_at_spaces else (lambda t: True)
-        # a unit after a space and the first unit after the dummy prefix both start with one marker
-        self.units = UnitCodec(odd, self._packed, self._packed, self._packed)
+        self.bare = build(replace(self.model, add_dummy_prefix=False))
+        self.units = UnitCodec("<i4", self._bare, self._packed, self._packed, marked=True, splits=self.model.splits_at_spaces)
         self.table = []
         for p, kind in zip(self.model.pieces, self.model.types, strict=True):
             self.table.append(bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARKER, " ").encode())
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of texts with the dummy prefix; the same units come after spaces."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if self.sp is not None:
             self.differ.update(t for t, a, b in zip(texts, got, self.sp.encode(texts, num_threads=2), strict=True) if a != b)
-        return [np.array(ids, "<i4").tobytes() for ids in got]
+        return [array("i", ids).tobytes() for ids in got]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<i4") for x in self.units.encode(texts)]
+    def _bare(self, units: list[str]) -> list[bytes]:
+        """Ids of units at the start of a later line, which have no marker; parity is seen behind a line feed."""
+        got = [e.ids for e in self.bare.encode_batch_fast(units, add_special_tokens=False)]
+        if self.sp is not None:
+            before = len(self.sp.encode("\n"))
+            self.differ.update(u for u, a, b in zip(units, got, self.sp.encode(["\n" + u for u in units], num_threads=2), strict=True) if a != b[before:])
+        return [array("i", ids).tobytes() for ids in got]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts."""
+        return self.units.encode(texts)
 
     def parity(self, text: str) -> bool:
         """Whether sentencepiece gave the same ids for all that `text` was encoded from."""
-        return not self.differ or (text not in self.differ and self.differ.isdisjoint(text.split(" ")))
+        return not self.differ or (text not in self.differ and self.differ.isdisjoint(text.replace("\n", " ").split(" ")))
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -183,17 +193,17 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         own = codec(model_path, verify)
         for batch in batches:
             at = 0
-            for texts in chunks(column(batch, "text")):
-                ids = own.encode(texts)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype("i4")
-                flat = np.concatenate(ids) if ids else np.empty(0, "i4")
+            for texts in chunks(batch.column(1)):
+                ids, offsets = own.encode(texts)
+                whole = texts.to_pylist()
+                decoded = [own.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array(np.diff(offsets).astype("i8")),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
-                        pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)]),
-                        pa.array([own.parity(t) for t in texts]),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(ids, pa.int32())),
+                        pa.array([a == b for a, b in zip(decoded, whole, strict=True)]),
+                        pa.array([own.parity(t) for t in whole]),
                     ],
                     names=[id_col, "n_tokens", "ids", "round_trip", "parity"],
                 )
