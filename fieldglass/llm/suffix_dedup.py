@@ -25,7 +25,7 @@ from .shingles import _power, mix
 LEAST, GRAM = 50, 24
 WINDOW = LEAST - GRAM + 1
 #: Bytes of text in a block file, hashed at a time, and for each bucket of anchors and each owner of segments.
-BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES, OWNER_BYTES = 32 << 20, 1 << 21, 32 << 20, 8 << 20
+BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES, OWNER_BYTES = 24 << 20, 1 << 20, 32 << 20, 2 << 20
 NO_DOC = np.iinfo("i8").max
 
 
@@ -148,7 +148,8 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         total = np.concatenate((np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * power[:n], dtype="u8")))
         if n < LEAST:
             continue
-        low = mix((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+        low = (total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1]
+        low = (low ^ (low >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         have = 1
         while have * 2 <= WINDOW:
             low = np.minimum(low[:-have], low[have:])
@@ -285,34 +286,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def deal(key: tuple, table: pa.Table) -> pa.Table:
         uri = key[0].as_py()
         texts, ids = _read_block(uri)
+        rising = np.argsort(ids, kind="stable")  # so that the first of equal segments has the smallest document
+        texts, ids = [texts[i] for i in rising], ids[rising]
         common = np.sort(np.concatenate([_u8(x) for x in table.column("anchors").to_pylist()]))
-        out: dict[str, list[np.ndarray]] = {k: [] for k in ("owner", "keys", "docs", "lengths", "data")}
+        seen = np.empty(0, "u8")
+        rows = []
         for data, total, text, start, stop, anchor in runs(texts):
             k = np.searchsorted(common, anchor)
-            ok = (k < len(common)) & (common[np.minimum(k, len(common) - 1)] == anchor)
-            start, stop, anchor, doc = start[ok], stop[ok], anchor[ok], ids[text[ok]]
-            keys = segment_keys(total, start, stop)
-            by = np.lexsort((doc, keys))
-            one = by[np.concatenate(([True], keys[by][1:] != keys[by][:-1]))] if len(by) else by
-            lengths = (stop + LEAST - start)[one]
-            at = np.repeat(start[one] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            for name, x in (("owner", (anchor[one] >> np.uint64(20)) % np.uint64(owners)), ("keys", keys[one]), ("docs", doc[one]), ("lengths", lengths.astype("u4")), ("data", data[at])):
-                out[name].append(x)
-        got = {name: np.concatenate(x) if x else np.empty(0, "u8") for name, x in out.items()}
-        if not len(got["keys"]):
-            return pa.Table.from_batches([_packed([], _SEGMENTS)])
-        # equal segments of different chunks of the block: the smallest document's stays
-        by = np.lexsort((got["docs"], got["keys"]))
-        keep = np.zeros(len(by), bool)
-        keep[by[np.concatenate(([True], got["keys"][by][1:] != got["keys"][by][:-1]))]] = True
-        long = np.repeat(keep, got["lengths"].astype("i8"))
-        data, owner = got["data"][long], got["owner"][keep]
-        keys, doc, lengths = got["keys"][keep], got["docs"][keep], got["lengths"][keep]
-        by_byte = np.repeat(owner, lengths.astype("i8"))
-        rows = []
-        for k in np.unique(owner):
-            own = owner == k
-            rows.append((int(k), uri, keys[own].tobytes(), doc[own].tobytes(), lengths[own].tobytes(), data[by_byte == k].tobytes()))
+            ok = np.flatnonzero(common[np.minimum(k, len(common) - 1)] == anchor)
+            keys = segment_keys(total, start[ok], stop[ok])
+            keys, first = np.unique(keys, return_index=True)
+            new = ~np.isin(keys, seen, assume_unique=True)
+            keys, ok = keys[new], ok[first[new]]
+            seen = np.concatenate((seen, keys))
+            owner = (anchor[ok] >> np.uint64(20)) % np.uint64(owners)
+            by = np.argsort(owner, kind="stable")
+            keys, ok, owner = keys[by], ok[by], owner[by]
+            lengths = stop[ok] + LEAST - start[ok]
+            ends = np.cumsum(lengths)
+            piled = data[np.repeat(start[ok] - (ends - lengths), lengths) + np.arange(lengths.sum())].tobytes()
+            doc = ids[text[ok]]
+            edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))).tolist() if len(owner) else []
+            for i, j in zip(edges, [*edges[1:], len(owner)], strict=True):
+                low = int(ends[i] - lengths[i])
+                rows.append((int(owner[i]), uri, keys[i:j].tobytes(), doc[i:j].tobytes(), lengths[i:j].astype("u4").tobytes(), piled[low : int(ends[j - 1])]))
         return pa.Table.from_batches([_packed(rows, _SEGMENTS)])
 
     def sort_owner(table: pa.Table) -> pa.Table:
