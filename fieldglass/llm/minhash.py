@@ -17,6 +17,8 @@ SIMILAR_PERCENT = 80
 #: about 1 in 8 million; more similar ones far less.
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
+#: 64-bit words of the bitmap that a set is hashed into for bounds.
+BITMAP = 32
 #: Shingles whose permutations are computed at a time.
 BLOCK = 2048
 #: Rounds in which each bucket that spans components compares all its members with one more pivot, before all that is left.
@@ -73,18 +75,44 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint, bands array<bigint>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit per shingle. Two bitmaps differ in no more bits than the sets in elements."""
+    out = np.zeros(64 * BITMAP, bool)
+    out[(shingles % np.uint64(64 * BITMAP)).astype("i8")] = True
+    return np.packbits(out).view("i8")
+
+
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, set) for rows (id, text)."""
+    """(id, set, bits) for rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "set", "bits"]
         for batch in batches:
-            got = [s.view("i8") for s in sets(batch.column("text"), k)]
+            got = list(sets(batch.column("text"), k))
             for at in range(0, len(got), 1000):
                 part = got[at : at + 1000]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in part]))).astype("i4")
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))], names=["id", "set"])
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(s) for s in part])), BITMAP).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part).view("i8"))), bits], names=names)
+
+    return docs.mapInArrow(run, "id bigint, set array<bigint>, bits array<bigint>")
 
-    return docs.mapInArrow(run, "id bigint, set array<bigint>")
+
+def rest_of_pairs(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket's members (key, place, rep, n, label) with different labels that could be similar enough.
+
+    Sets that share `percent` of their union differ in at most (100 - percent) / (100 + percent) of their sizes' sum, and
+    bitmaps in no more bits: pairs over the bound can't be links. A pair comes from the first of its common buckets. info: bits
+    and bands of each rep.
+    """
+    fat = members.join(info, "rep").select("key", "place", "rep", "n", "label", "bands", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)])
+    other = fat.select("key", *[F.col(c).alias(f"p_{c}") for c in fat.columns if c not in ("key", "place")])
+    differ = " + ".join(f"bit_count(w{i} ^ p_w{i})" for i in range(BITMAP))
+    met = fat.join(other, "key").where(
+        f"rep < p_rep AND label <> p_label AND 100 * least(n, p_n) >= {percent} * greatest(n, p_n) "
+        f"AND {100 + percent} * ({differ}) <= {100 - percent} * (n + p_n) AND NOT arrays_overlap(slice(bands, 1, place), slice(p_bands, 1, place))"
+    )
+    return met.select(F.col("rep").alias("a"), F.col("p_rep").alias("b"))
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -122,9 +150,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are linked if their sets of k-word shingles (A-Z lower-cased) share `percent` of their union.
     1. One pass over the texts writes set sizes, names and band keys. Rows with one set are a class, and one row stands for it.
     2. In each bucket, members whose sizes allow a link are paired with the bucket's smallest, not with one another.
-    3. Full sets confirm pairs; components follow. Buckets that still span components take more pivots, PIVOTS times; then
-       every pair of members from different components that wasn't compared is. So a group of any size costs pairs in
-       proportion to its size, and no link between components is left out.
+    3. Full sets confirm pairs; components follow. Buckets that still span components take more pivots, PIVOTS times. Then
+       every pair of members from different components is taken that wasn't compared and that exact bounds on sizes and
+       bitmaps don't rule out. So pairs grow in proportion to a group's size, and no link between components is left out.
 
     A text without words, or null, has an empty set and no links. Null ids have no links; their component_id is null. Rows that
     share an id are one node. No rows give no rows. Other columns are not read.
@@ -133,7 +161,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = stored(sketches(rows, k), "sketches")
     named = sketch.where("n > 0 AND id IS NOT NULL")
     classes = stored(named.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("rows"), F.first("bands").alias("bands")), "classes")
-    placed = classes.select("rep", "n", F.explode("bands").alias("key"))
+    placed = classes.select("rep", "n", F.posexplode("bands").alias("place", "key"))
     full_buckets = stored(placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "buckets")
     members = stored(placed.join(sized(full_buckets), "key"), "members")
     asked = members.select("rep").distinct()
@@ -152,9 +180,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
             pivot = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "label")).alias("p")).select("key", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.label").alias("p_label"))
             met = now.join(sized(stored(pivot, "pivots")), "key")
+            pairs = met.where((F.col("label") != F.col("p_label")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         else:
-            met = now.join(now.select("key", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"), F.col("label").alias("p_label")), "key").where("rep < p_rep")
-        pairs = met.where((F.col("label") != F.col("p_label")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+            info = full.select(F.col("id").alias("rep"), "bits").join(classes.select("rep", "bands"), "rep")
+            pairs = rest_of_pairs(now, info.join(now.select("rep").distinct(), "rep", "left_semi"), percent)
         pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
