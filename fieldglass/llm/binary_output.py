@@ -96,7 +96,7 @@ def encoder(path: str) -> tuple[UnitCodec, int]:
         data, at = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
         return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    return UnitCodec(f"<u{width}", pack, rest, pack), width
+    return UnitCodec(f"<u{width}", pack, rest, pack, remember=400_000), width
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

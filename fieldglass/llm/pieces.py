@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units that a worker remembers in each of two generations, and bytes of text that it splits at a time; both bound its memory.
-CACHED_UNITS = 150_000
-CHUNK_BYTES = 2_500_000
+#: Units that a worker remembers in each of two generations, if not told otherwise, and bytes of text that it splits at a time.
+CACHED_UNITS = 100_000
+CHUNK_BYTES = 2_000_000
+#: Units that the tokenizer gets at a time: its records of a unit are far larger than the ids.
+UNITS_AT_A_TIME = 5_000
 
 #: White space of Unicode. Where two such characters meet, or at an end of a text, units can't be told apart.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -34,18 +36,19 @@ class UnitCodec:
     Units end at single spaces and line feeds. A unit after a space takes the space along; one that starts a line doesn't.
     Texts with other runs of white space go to the tokenizer whole, and so does every text if `splits` is false. `rest` encodes
     units after a space, `first` units at a line's start, `whole` texts: lists of strings to lists of packed ids of `kind`. A
-    text's very first unit is taken as one after a space if `marked`.
+    text's very first unit is taken as one after a space if `marked`. Texts that hold `avoid` go whole too.
     """
 
-    def __init__(self, kind: str, first: Callable, rest: Callable, whole: Callable, marked: bool = False, splits: bool = True):
+    def __init__(self, kind: str, first: Callable, rest: Callable, whole: Callable, marked: bool = False, splits: bool = True, remember: int = CACHED_UNITS, avoid: str | None = None):
         self.kind, self.first, self.rest, self.whole, self.marked, self.splits = np.dtype(kind), first, rest, whole, marked, splits
+        self.remember, self.avoid = remember, avoid
         self.line_feed = whole(["x\n"])[0][len(whole(["x"])[0]) :] if splits else b""
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _look_up(self, units: list[str]) -> list[bytes]:
         """Packed ids of units; those that start a line have the line feed in front."""
-        if len(self.known) > CACHED_UNITS:
+        if len(self.known) > self.remember:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         found = list(map(known.get, units))
@@ -57,13 +60,19 @@ class UnitCodec:
                 known[u] = v
         spaced = [u for u in new if u[:1] != "\n"]
         lines = [u for u in new if u[:1] == "\n"]
-        known.update(zip(spaced, self.rest(spaced) if spaced else (), strict=True))
-        known.update((u, self.line_feed + v) for u, v in zip(lines, self.first([u[1:] for u in lines]) if lines else (), strict=True))
+        for at in range(0, len(spaced), UNITS_AT_A_TIME):
+            part = spaced[at : at + UNITS_AT_A_TIME]
+            known.update(zip(part, self.rest(part), strict=True))
+        for at in range(0, len(lines), UNITS_AT_A_TIME):
+            part = lines[at : at + UNITS_AT_A_TIME]
+            known.update((u, self.line_feed + v) for u, v in zip(part, self.first([u[1:] for u in part]), strict=True))
         return list(map(known.__getitem__, units))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(texts), bool)
+        if self.splits and self.avoid:
+            odd = odd | pc.match_substring(texts, self.avoid).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
         # a line's start is a unit that begins with its line feed
         cut = pc.replace_substring(plain, "\n", " \n")
