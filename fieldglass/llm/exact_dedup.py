@@ -83,11 +83,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdict = stored(exact_dedup(docs, id_col, text_col), "verdict")
     gone = stored(verdict.where("not kept").select(F.col(id_col).alias("gone_id"), F.col("h").alias("gone_h")), "gone")
     again = stored(verdict.where("kept").groupBy(F.col(id_col).alias("again_id"), F.col("h").alias("again_h")).agg(F.count("*").alias("n")).where("n > 1").select("again_id", "again_h"), "again")
-    h = F.xxhash64(ascii_lower(text_or_empty(text_col)))
-    left = docs.join(sized(gone), F.col(id_col).eqNullSafe(F.col("gone_id")) & (h == F.col("gone_h")), "left_anti")
+    h = F.xxhash64(ascii_lower(F.coalesce(docs[text_col], F.lit(""))))
+    # columns are named by their frames: `docs` may have columns of any name
+    left = docs.join(sized(gone), docs[id_col].eqNullSafe(gone["gone_id"]) & (h == gone["gone_h"]), "left_anti")
     if again.isEmpty():
         return left
-    same = F.col(id_col).eqNullSafe(F.col("again_id")) & (h == F.col("again_h"))
+    same = docs[id_col].eqNullSafe(again["again_id"]) & (h == again["again_h"])
     return left.join(sized(again), same, "left_anti").unionByName(left.join(sized(again), same, "left_semi").dropDuplicates([id_col]))
 
 

@@ -211,7 +211,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """`docs` without the rows that near_dedup() drops: one document of each group stays."""
     gone = near_dedup(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(sized(stored(gone, "gone")), F.col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    gone = stored(gone, "gone")
+    return docs.join(sized(gone), docs[id_col].cast("long") == gone["gone_id"], "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

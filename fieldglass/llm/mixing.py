@@ -132,10 +132,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **to) -> DataFrame:
     """`docs` with each row as often as mix() takes it. Rows that repeat an id and a text share the mean of their copies, rounded."""
     found = mix(docs, id_col, text_col, source_col, **to).groupBy(F.col(id_col).alias("mix_id"), F.col("key").alias("mix_key")).agg(F.round(F.avg("copies")).cast("int").alias("mix_copies"))
-    found = stored(found.where("mix_copies > 0"), "copies")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("mix_id")) & (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("mix_key"))
-    out = docs.join(sized(found), same)
-    return out.select(*[out[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    found = stored(found.where("mix_copies > 0").select("mix_id", "mix_key", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))), "copies")
+    same = docs[id_col].cast("long").eqNullSafe(found["mix_id"]) & (F.xxhash64(docs[id_col], docs[text_col]) == found["mix_key"])
+    return docs.join(sized(found), same).select(*[docs[c] for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,8 +175,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """`docs` without the rows that quality() rejects. Rejected rows are looked up by id and the text's hash."""
     gone = quality(docs, id_col, text_col, lang_col, source_col).where("not kept").select(F.col(id_col).alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("gone_key"))
-    return docs.join(sized(stored(gone, "rejected")), same, "left_anti")
+    gone = stored(gone, "rejected")
+    same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_key"])
+    return docs.join(sized(gone), same, "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
