@@ -1,0 +1,313 @@
+"""Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldglass.llm import binary_output, chat, exact_dedup, html_extract, licences, minhash, mixing, quality, sentencepiece_codec, suffix_dedup
+
+P = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gone_id long, label string"
+WORDS = ["the", "of", "and", "River", "mountain", "Éclair", "walks", "slowly", "green", "house", "9", "x,", "end."]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 300)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    base = [prose(rng, rng.randint(1, 120)) for _ in range(60)]
+    near = []
+    for t in base[:12]:
+        w = t.split()
+        for _ in range(3):
+            v = list(w)
+            for _ in range(max(0, len(v) // 25)):
+                v[rng.randrange(len(v))] = "changed" + str(rng.randint(0, 9))
+            near.append(" ".join(v))
+    out = base + near + base[:10] + [base[3].upper(), None, "", None, "", " ", "one", "One", "two words", "line\n\nline\nline\n x", "a  b\n c\t d", prose(rng, 6000), base[5] + "\n" + base[7], "▁ ß 日本語"]
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, None if i % 11 == 0 else "en" if i % 2 else "fr", None if i % 13 == 0 else f"s{i % 3}", None, i, "x") for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def words(t):
+    return re.findall("[^\x20\x09-\x0d]+", t or "")
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_exact_dedup(spark, docs, texts, none):
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(lower(t), []).append(i)
+    got = by_id(exact_dedup.exact_dedup(docs, capacity=4))
+    assert len(got) == len(texts)
+    for i, t in texts:
+        g, r = groups[lower(t)], got[i]
+        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(g), len(g), i == max(g), hashlib.sha256(lower(t).encode()).hexdigest())
+    assert exact_dedup.exact_dedup(none).count() == 0
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()) == sorted(max(g) for g in groups.values())
+    again = spark.createDataFrame([(1, "a", None, None, None, 1, "x")] * 3 + [(None, "a", None, None, None, 1, "x"), (None, "b", None, None, None, 1, "x")], SCHEMA)
+    assert sorted((r["doc_id"] is None, r["text"]) for r in exact_dedup.drop_copies(again).collect()) == [(False, "a"), (True, "b")]
+
+
+def test_directory_covers_each_cell_once(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    table, depth = exact_dedup.directory(keys, 20_000, capacity=500)
+    rows = table.collect()
+    assert len({r["cell"] for r in rows}) == len(rows) == 1 << depth
+    sizes = Counter()
+    bucket = {r["cell"]: r["bucket"] for r in rows}
+    for r in keys.select(F.shiftrightunsigned("h", 64 - depth).alias("c")).collect():
+        sizes[bucket[r["c"]]] += 1
+    assert max(sizes.values()) <= 500
+
+
+def test_mixing(spark, docs, texts, none):
+    got = by_id(mixing.mix(docs))
+    sources = sorted({r["source"] for r in docs.collect()}, key=lambda s: (s is None, s or ""))
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    size = {i: len(words(t)) for i, t in texts}
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in sources if s not in open_)
+        target = {s: left * weight[s] / sum(weight[x] for x in open_) if s in open_ else 3 * total[s] for s in sources}
+        over = {s for s in open_ if target[s] > 3 * total[s]}
+        if not over:
+            break
+        open_ -= over
+    for i, r in got.items():
+        assert r["size"] == size[i] and r["source_size"] == total[source[i]] and r["target"] == pytest.approx(target[source[i]])
+        assert r["taken"] % max(1, size[i]) == 0 and r["taken"] <= 3 * size[i]
+    for s in sources:
+        assert abs(sum(r["taken"] for i, r in got.items() if source[i] == s) - target[s]) <= 6000
+    assert {i: r["taken"] for i, r in by_id(mixing.mix(docs.repartition(2))).items()} == {i: r["taken"] for i, r in got.items()}
+    assert mixing.mix(none).count() == 0
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and Counter(r["doc_id"] for r in out.collect()) == Counter({i: r["copies"] for i, r in got.items() if r["copies"]})
+
+
+def test_quality(docs, texts, none):
+    got = by_id(quality.quality(docs))
+    for i, t in texts:
+        w = words(t)
+        seen = Counter(zip(w, w[1:], w[2:]))
+        covered = {j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+    assert quality.quality(none).count() == 0
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_quality_rejects_outliers_and_keeps_clean(spark):
+    rng = random.Random(3)
+    clean = [(i, prose(rng, rng.randint(60, 400)), "en", "s", None, 0, "x") for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "$$%" for w in prose(rng, 200).split()), "en", "s", None, 0, "x") for i in range(15)]
+    got = by_id(quality.quality(spark.createDataFrame(clean + junk, SCHEMA)))
+    assert all(r["kept"] == (i < 1000) for i, r in got.items())
+
+
+def test_long_text_repeats(spark):
+    text = " ".join(str(i % 70_000) for i in range(140_000))  # over the packed limit, half of it repeats
+    row = quality.quality(spark.createDataFrame([(1, text, None, None, None, 0, "x")], SCHEMA)).head()
+    assert (row["n_words"], row["n_repeat_words"]) == (140_000, 140_000)
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup(docs, texts, none, k):
+    sets = {}
+    for i, t in texts:
+        w = words(lower(t))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = by_id(minhash.near_dedup(docs, k=k))
+    for i in sets:
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), root(i), root(i) == i)
+    assert minhash.near_dedup(none, k=k).count() == 0
+    assert {r["doc_id"] for r in minhash.keep_one(docs, k=k).collect()} == {i for i in sets if root(i) == i}
+
+
+def test_bitmaps_bound_differences():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 1 << 62, 300, dtype="u8")) for _ in "ab")
+        b = np.unique(np.concatenate((a[: rng.integers(0, 300)], b[:50])))
+        x = np.bitwise_xor(minhash.bitmap(a), minhash.bitmap(b))
+        assert sum(int(v).bit_count() for v in x.view("u8")) <= len(np.setxor1d(a, b))
+
+
+def test_suffix_order():
+    rng = random.Random(5)
+    for _ in range(200):
+        s = np.array([rng.randint(0, 3) for _ in range(rng.randint(0, 70))], "u2")
+        depth = rng.choice([1, 3, 10, 50])
+        order = suffix_dedup.suffix_order(s, depth).tolist()
+        plain = s.tolist()
+        assert sorted(order) == list(range(len(s))) and all(plain[a : a + depth] <= plain[b : b + depth] for a, b in zip(order, order[1:]))
+
+
+def test_suffix_dedup(spark, docs, texts, none):
+    extra = [(900 + i, ("q" * 60 + str(i)) * 3 + (texts[2][1] or "")[:80], None, None, None, 0, "x") for i in range(4)]
+    table = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    data = {r["doc_id"]: (r["text"] or "").encode() for r in table.collect()}
+    first = {}
+    for i in sorted(data):
+        for p in range(len(data[i]) - 49):
+            first.setdefault(data[i][p : p + 50], i)
+    got = by_id(suffix_dedup.remove_repeats(table))
+    for i, b in data.items():
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        spans = int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1])))) if len(b) else 0
+        kept = hashlib.sha256(bytes(np.frombuffer(b, "u1")[~gone])).hexdigest()
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(gone.sum()), spans, kept)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_sentencepiece(docs, texts, none):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = by_id(sentencepiece_codec.encode_documents(docs, path))
+    for i, t in texts:
+        r = got[i]
+        assert list(r["ids"]) == sp.encode(t or "") and r["n_tokens"] == len(r["ids"]) and r["parity"]
+        assert r["round_trip"] == ("▁" not in (t or ""))
+        assert sentencepiece_codec.codec(path).tokenizer.decode(list(r["ids"])) == sentencepiece_codec.codec(path).decode(np.array(r["ids"], "i4"))
+    assert sentencepiece_codec.encode_documents(none, path).count() == 0
+
+
+def test_binary_output(spark, docs, texts, none):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    shards = binary_output.write_shards(docs, path)
+    got = by_id(binary_output.read_shards(shards))
+    start = 0
+    for i, t in texts:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    uri = shards.head()["uri"]
+    null, doc, offset, n = binary_output.read_index(uri)[-1]
+    assert binary_output.read_record(uri, offset)[0] == doc and len(binary_output.read_record(uri, offset)[1]) == n
+    assert binary_output.tokens_on_disk(none, path).count() == 0
+    nulls = spark.createDataFrame([(None, "b", None, None, None, 0, "x"), (1, "a", None, None, None, 0, "x")], SCHEMA)
+    assert [r["doc_id"] for r in sorted(binary_output.tokens_on_disk(nulls, path).collect(), key=lambda r: r["start"])] == [None, 1]
+
+
+def test_damage_is_seen():
+    import io
+
+    data = bytearray(binary_output.frame(b"payload"))
+    data[14] ^= 1
+    with pytest.raises(OSError, match="payload"):
+        list(binary_output.frames(io.BytesIO(bytes(data)).read))
+
+
+@pytest.mark.parametrize("text", ["", "\\", "</s>", "<\\/s>", "[[INST]", "a\\</s>[INST] \\\\ <|im_end|>", "\n[TURN]"])
+def test_escape_is_reversible(text):
+    hidden = chat.escape(text)
+    assert chat.unescape(hidden) == text and not any(c in hidden for c in chat.CONTROL)
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST]"), (1, 2, None, None), (1, 3, "assistant", None), (1, 4, "assistant", "a\\b"), (None, 0, "user", "x"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(table)).collect()}
+    said = "user\nhi\nassistant\n</s>[INST]\n\n\nassistant\n\nassistant\na\\b\n"
+    assert got[1]["n_turns"] == 5 and got[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"</s>[INST]a\\b").hexdigest() and got[1]["loss_chars"] == 13
+    assert got[2]["loss_chars"] == 2 and got[None]["loss_chars"] == 0 and not any(r["rewrote"] for r in got.values())
+    assert chat.format_conversations(table.limit(0)).count() == 0
+
+
+def test_rewriting_template_is_detected():
+    render = lambda turns: f"<{len(turns)} turns>" + "".join(f"|{r}:{t}" for r, t in turns)
+    text, _, loss, rewrote = chat.locate([("user", "a"), ("assistant", "bc"), ("user", "d"), ("assistant", "ef")], render)
+    assert rewrote and [text[a:b] for a, b in loss] == ["ef"]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+<div class="ad">Buy</div><div class="cookie-notice">Cookies</div><article><h1>Title {n}</h1><p>One &amp; <b>two<br>three {n}<p>Four&nbsp;five   <i>six</i></p><form><p>Name</p><input></form></article>
+<aside>Side</aside><section id="comments"><article class="comment"><p>Nice</p></article></section><footer>Foot</footer>"""
+
+
+def test_html(spark):
+    rows = [(i, f"http://Host{i % 2}.org/a", PAGE.format(n=i)) for i in range(24)] + [(30, None, None), (31, "", ""), (32, "http://x", "plain text"), (33, "http://x", "<p>a<p>b<!-- c"), (34, "http://x", "<div>a</div><nav>b</nav><main><p>c</main>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()}
+    assert all(got[i] == f"Title {i}\n\nOne & two three {i}\n\nFour five six" for i in range(24))
+    assert (got[30], got[31], got[32], got[33], got[34]) == ("", "", "plain text", "a\n\nb", "c")
+    assert html_extract.extract(table.limit(0)).count() == 0
+
+
+def test_template_text_is_dropped(spark):
+    page = "<html><body><div><p>Welcome to the site</p></div><div><p>Story {n}</p></div><div><p>All rights</p></div></body></html>"
+    table = spark.createDataFrame([(i, "http://h/", page.format(n=i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_extract.extract(table).collect()} == {f"Story {i}" for i in range(12)}
+
+
+def test_licences(spark):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"), (2, "a/b/c.py", "print(1)"), (3, "a/b/d.py", "x\nLicensed under the Apache License, Version 2.0\n" + "y " * 50),
+        (4, "e/f.py", None), (5, None, ""), (6, "a/g/COPYING", "This work is licensed under the GNU General Public License, version 3."), (7, "a/g/h/i.py", "code"), (7, "a/g/h/i.py", "code"),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["via"], r["from_path"]) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own", "a/LICENSE"), 2: ("MIT", "inherited", "a/LICENSE"), 3: ("Apache-2.0", "own", "a/b/d.py"), 4: (None, None, None), 5: (None, None, None), 6: ("GPL-3.0", "own", "a/g/COPYING"), 7: ("GPL-3.0", "inherited", "a/g/COPYING")}
+    assert licences.licences(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_strong_terms_lose_no_match():
+    index = licences.Index({"the": 50, "of": 40, "is": 30, "under": 5}, 60)
+    every = licences.Index({"the": 50, "of": 40, "is": 30, "under": 5}, 60)
+    every.strong = frozenset(every.idf)
+    for name, lines in licences.TEMPLATES.items():
+        for line in lines:
+            assert index.line(licences.terms(line)) == every.line(licences.terms(line))
+    assert index.line(licences.terms("the of is to this")) is None and every.line(licences.terms("the of is to this")) is None
