@@ -95,3 +95,14 @@ def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     """The summaries below a pattern such as runs/*/summary.json; unreadable ones are left out."""
     schema = "run_id string, model string, n long, metrics map<string,double>, _corrupt_record string"
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern).where("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
+def snapshot(run_dir: str, to: str, names: tuple[str, ...] = ("run_config.json", "summary.json", "report.html")) -> list[str]:
+    """Copies a run's small artefacts and returns those that were there."""
+    import shutil
+
+    os.makedirs(to, exist_ok=True)
+    there = [n for n in names if os.path.exists(f"{run_dir}/{n}")]
+    for n in there:
+        shutil.copyfile(f"{run_dir}/{n}", f"{to}/{n}")
+    return there
