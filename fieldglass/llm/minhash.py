@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sized, stored
-from .shingles import mix, sets
+from .shingles import give_back, mix, sets
 
 SIMILAR_PERCENT = 80
 #: 100 permutations give 200 values: 40 bands of 5. Two texts at the threshold share no band with a chance of (1 - 0.8^5)^40,
@@ -71,6 +71,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(np.array(n, "i8")), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "c1", "c2", "bands"]
             )
+        give_back()
 
     return docs.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint, bands array<bigint>")
 
@@ -94,6 +95,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in part]))).astype("i4")
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(s) for s in part])), BITMAP).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part).view("i8"))), bits], names=names)
+        give_back()
 
     return docs.mapInArrow(run, "id bigint, set array<bigint>, bits array<bigint>")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker remembers in each of two generations, if not told otherwise, and bytes of text that it splits at a time.
-CACHED_UNITS = 100_000
+CACHED_UNITS = 150_000
 CHUNK_BYTES = 2_000_000
 #: Units that the tokenizer gets at a time: its records of a unit are far larger than the ids.
 UNITS_AT_A_TIME = 5_000
@@ -21,12 +21,11 @@ _ODD = rf"{_SPACE}{_SPACE}|\A{_SPACE}|{_SPACE}\z|\A\z"
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     """Runs of whole texts of about `most` bytes, null as empty; a longer text stands alone."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="i8")
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield texts.slice(at, to - at)
+        yield pc.fill_null(texts.slice(at, to - at), "").cast(pa.large_string())
         at = to
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import UnitCodec, chunks
+from .shingles import give_back
 
 MARKER = "▁"
 #: Fixed values of the model format: piece types, and the model types of the trainer specification.
@@ -208,6 +209,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     names=[id_col, "n_tokens", "ids", "round_trip", "parity"],
                 )
                 at += len(texts)
+            give_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {SCHEMA}")
 
