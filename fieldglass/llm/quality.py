@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, WS, sized, stored, text_or_empty
@@ -11,13 +11,16 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: The transformed statistics and the least spread that each is given: smaller spreads are normal variation of clean prose.
 VECTOR = {"x_length": 0.08, "x_symbols": 0.05, "x_lines": 0.2, "x_repeats": 0.15}
-#: Share of a group that the determinant is minimal over, with the chi-square (4 degrees) consistency factor for it.
-SUPPORT, CONSISTENCY = 0.75, 1.4862
+#: Share of a group that the determinant is minimal over: junk may be up to half. Consistency factor: share / P(chi-square 6 <= its chi-square 4 quantile).
+SUPPORT, CONSISTENCY = 0.5, 2.109
+#: Rows nearer than the 0.975 quantile of chi-square (4 degrees) enter the final estimates, with the factor for that share.
+NEAR, NEAR_CONSISTENCY = 11.143, 1.0645
 #: Squared distance beyond which a document is an outlier: chi-square with 4 degrees of freedom at 0.99999.
 CUTOFF = 28.473
 #: Rows that a language and source need for estimates of their own; smaller ones share their language's, then one of all.
 LEAST = 50
-C_STEPS = 3
+#: Concentration ends once no group's log determinant falls by more than SETTLED; bins of distance can make it swing, so steps are bounded.
+SETTLED, MOST_STEPS = 1e-3, 30
 #: Words up to which a window's hash and place fit one long with 46 bits of hash; longer texts sort (hash, place) pairs.
 PACKED = 1 << 17
 
@@ -73,25 +76,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _quantiles(rows: DataFrame, share: float) -> DataFrame:
-    """(g, k, cut): the bin up to which `share` of the rows (g, k, bin) lie. Only counts by bin leave the scan, a bounded table a group."""
-    bins = rows.groupBy("g", "k", "bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("g", "k")
-    bins = bins.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    return bins.where(F.col("below") >= share * F.col("all")).groupBy("g", "k").agg(F.min("bin").alias("cut"))
-
-
-def _estimates(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of the rows of each group g; the least spreads stand on the diagonal as a ridge.
+def _estimates(rows: DataFrame, by: list[str], consistency: float) -> DataFrame:
+    """Mean, Cholesky factor of the covariance and its log determinant, for the rows of each group; the least spreads stand on
+    the diagonal as a ridge.
 
     Means and products of deviations come from Spark's one-pass moments, which combine on the map side.
     """
     names = list(VECTOR)
     cells = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    got = rows.groupBy("g").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in cells])
+    got = rows.groupBy(*by).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in cells])
     for i, j in cells:
         ridge = list(VECTOR.values())[i] ** 2 if i == j else 0.0
-        got = got.withColumn(f"c{i}{j}", F.col(f"c{i}{j}") * CONSISTENCY + F.lit(ridge))
+        got = got.withColumn(f"c{i}{j}", F.col(f"c{i}{j}") * consistency + F.lit(ridge))
     # Cholesky factor, column by column
     for j in range(len(names)):
         for i in range(j, len(names)):
@@ -99,11 +95,12 @@ def _estimates(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             got = got.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return got.select("g", *[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i, j in cells])
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(names))), 2 * F.log("l00"))
+    return got.select(*by, det.alias("det"), *[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i, j in cells])
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance d2 by forward substitution."""
+    """Squared Mahalanobis distance d2 by forward substitution; a row for each start s, if the estimates have starts."""
     names = list(VECTOR)
     out = rows.join(sized(estimates), "g", "left")
     for i, x in enumerate(names):
@@ -111,14 +108,17 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         for k in range(i):
             z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(names))), F.col("z0") * F.col("z0"))).select(*rows.columns, "d2")
+    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(names))), F.col("z0") * F.col("z0"))).select(*rows.columns, *[c for c in ["s"] if c in estimates.columns], "d2")
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
-    """The SUPPORT share of each group's rows (with d2) that lie nearest, cut at a bin of 1/32 of a doubling."""
+    """The SUPPORT share of the rows (with d2) of each group and start that lie nearest, cut at a bin of 1/32 of a doubling.
+
+    Only counts by bin leave the scan, a bounded table for each group and start.
+    """
     rows = rows.withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * 32))
-    cut = _quantiles(rows.select("g", F.lit(0).alias("k"), "bin"), SUPPORT).select("g", "cut")
-    return rows.join(sized(stored(cut, "cut")), "g").where(F.col("bin") <= F.col("cut"))
+    cut = rows.groupBy("g", "s").agg(F.percentile("bin", SUPPORT).alias("cut"))
+    return rows.join(sized(stored(cut, "cut")), ["g", "s"]).where(F.col("bin") <= F.col("cut"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -135,25 +135,36 @@ def grouped(rows: DataFrame) -> DataFrame:
 def outliers(rows: DataFrame) -> DataFrame:
     """Squared robust distances d2 of rows with the VECTOR columns, by minimum-covariance-determinant estimates of each group g.
 
-    Start: distances from medians in units of the median absolute deviation, coordinate by coordinate. Then C_STEPS
-    concentration steps: estimate mean and covariance from the nearest SUPPORT share, which never raises the determinant, and
-    measure all rows again. Each step scans a narrow stored table; what it shuffles is counts by bin and moments by group.
+    Starts s: distances from medians in units of the median absolute deviation, the same in units of the least spreads, and the
+    lowest values of each statistic that junk raises. Concentration steps run on all starts at once until they settle: estimate
+    mean and covariance from the nearest SUPPORT share, which doesn't raise the determinant, and measure all rows again. The
+    start with the least determinant gives a group's raw estimates; rows NEAR them give the final ones. Each step scans a
+    narrow stored table; what it shuffles is counts by bin and moments by group.
     """
     names = list(VECTOR)
-    long = lambda df, cols: df.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(c * 256).alias("bin")) for i, c in enumerate(cols)])).alias("v")).select("g", "v.*")
-    pivoted = lambda df, p: df.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, (F.col("cut") + 0.5) / 256)).alias(f"{p}{i}") for i in range(len(names))])
-    middle = stored(pivoted(_quantiles(long(rows, [F.col(x) for x in names]), 0.5), "med"), "medians")
+    half = lambda cols, p: [(F.percentile(F.floor(c * 256), 0.5) / 256 + 0.5 / 256).alias(f"{p}{i}") for i, c in enumerate(cols)]
+    middle = stored(rows.groupBy("g").agg(*half([F.col(x) for x in names], "med")), "medians")
     centred = rows.join(sized(middle), "g")
     away = [F.abs(F.col(x) - F.col(f"med{i}")) for i, x in enumerate(names)]
-    spread = stored(pivoted(_quantiles(long(centred, away), 0.5), "mad"), "spreads")
-    start = centred.join(sized(spread), "g")
-    d2 = sum((F.pow(away[i] / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(VECTOR[x])), 2) for i, x in enumerate(names)), F.lit(0.0))
-    near = _nearest(start.withColumn("d2", d2).select(*rows.columns, "d2"))
-    for step in range(C_STEPS):
-        got = stored(_estimates(near), f"estimates-{step}")
-        measured = _with_distance(rows, got)
-        near = _nearest(measured) if step < C_STEPS - 1 else near
-    return measured
+    spread = stored(centred.groupBy("g").agg(*half(away, "mad")), "spreads")
+    total = lambda parts: sum(parts[1:], parts[0])
+    starts = [
+        total([F.pow(away[i] / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(VECTOR[x])), 2) for i, x in enumerate(names)]),
+        total([F.pow(away[i] / VECTOR[x], 2) for i, x in enumerate(names)]),
+        *[F.pow(F.col(x) / VECTOR[x], 2) for x in names[1:]],
+    ]
+    first = centred.join(sized(spread), "g").select("g", *names, F.posexplode(F.array(*starts)).alias("s", "d2"))
+    narrow = rows.select("g", *names)
+    got = stored(_estimates(_nearest(first), ["g", "s"], CONSISTENCY), "estimates-0")
+    for step in range(1, MOST_STEPS + 1):
+        was = got.select("g", "s", F.col("det").alias("was"))
+        got = stored(_estimates(_nearest(_with_distance(narrow, got)), ["g", "s"], CONSISTENCY), f"estimates-{step}")
+        fallen = got.join(sized(was), ["g", "s"]).agg(F.max(F.col("was") - F.col("det"))).head()[0]
+        if fallen is None or fallen <= SETTLED:
+            break
+    best = got.groupBy("g").agg(F.min(F.struct("det", *[c for c in got.columns if c not in ("g", "det", "s")])).alias("e")).select("g", "e.*")
+    near = _with_distance(narrow, stored(best, "estimates-raw")).where(F.col("d2") <= NEAR)
+    return _with_distance(rows, stored(_estimates(near, ["g"], NEAR_CONSISTENCY), "estimates"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -135,6 +135,15 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert all(r["kept"] == (i < 1000) for i, r in got.items())
 
 
+@pytest.mark.parametrize("share", [30, 45])
+def test_quality_rejects_junk_up_to_half(spark, share):
+    rng = random.Random(share)
+    clean = [(i, prose(rng, rng.randint(60, 400)), "en", "s", None, 0, "x") for i in range(300)]
+    junk = [(1000 + i, " ".join(w + rng.choice(["$$%", "###", "***"]) for w in prose(rng, rng.randint(60, 400)).split()), "en", "s", None, 0, "x") for i in range(300 * share // (100 - share))]
+    got = by_id(quality.quality(spark.createDataFrame(clean + junk, SCHEMA)))
+    assert all(r["kept"] == (i < 1000) for i, r in got.items() if not r["base_failed"])
+
+
 def test_long_text_repeats(spark):
     text = " ".join(str(i % 70_000) for i in range(140_000))  # over the packed limit, half of it repeats
     row = quality.quality(spark.createDataFrame([(1, text, None, None, None, 0, "x")], SCHEMA)).head()
