@@ -10,7 +10,8 @@ from .common import WORD, WS, sized, stored, text_or_empty
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: The transformed statistics and the least spread that each is given: smaller spreads are normal variation of clean prose.
-VECTOR = {"x_length": 0.08, "x_symbols": 0.05, "x_lines": 0.2, "x_repeats": 0.15}
+#: Those of x_lines (1 at most) and x_repeats (sqrt(0.5) at most) are small enough for each to reach CUTOFF by itself.
+VECTOR = {"x_length": 0.08, "x_symbols": 0.05, "x_lines": 0.12, "x_repeats": 0.1}
 #: Share of a group that the determinant is minimal over: junk may be up to half. Consistency factor: share / P(chi-square 6 <= its chi-square 4 quantile).
 SUPPORT, CONSISTENCY = 0.5, 2.109
 #: Rows nearer than the 0.975 quantile of chi-square (4 degrees) enter the final estimates, with the factor for that share.

@@ -144,6 +144,17 @@ def test_quality_rejects_junk_up_to_half(spark, share):
     assert all(r["kept"] == (i < 1000) for i, r in got.items() if not r["base_failed"])
 
 
+def test_quality_rejects_lines_or_repeats_alone(spark):
+    rng = random.Random(9)
+    clean = [(i, prose(rng, rng.randint(60, 400)), "en", "s", None, 0, "x") for i in range(300)]
+    lines = "\n".join(["Read more"] * 90 + [prose(rng, 200) for _ in range(10)])
+    phrase = prose(rng, 98)
+    repeats = f"{phrase} {prose(rng, 204)} {phrase}"  # 49 % of the words in repeated windows, no duplicate line
+    got = by_id(quality.quality(spark.createDataFrame([*clean, (1000, lines, "en", "s", None, 0, "x"), (1001, repeats, "en", "s", None, 0, "x")], SCHEMA)))
+    assert not got[1000]["base_failed"] and got[1000]["n_dup_lines"] == 89 and not got[1001]["base_failed"] and got[1001]["n_repeat_words"] == 196
+    assert all(r["kept"] == (i < 1000) for i, r in got.items())
+
+
 def test_long_text_repeats(spark):
     text = " ".join(str(i % 70_000) for i in range(140_000))  # over the packed limit, half of it repeats
     row = quality.quality(spark.createDataFrame([(1, text, None, None, None, 0, "x")], SCHEMA)).head()
