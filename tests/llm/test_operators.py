@@ -313,6 +313,13 @@ def test_template_text_is_dropped(spark):
     assert {r["text"] for r in html_extract.extract(table).collect()} == {f"Story {i}" for i in range(12)}
 
 
+def test_template_outlasts_pages_without_it(spark):
+    page = "<html><body><div><p>Welcome to the site</p></div><div><p>Story {n}</p></div><div><p>All rights</p></div><div><p>All rights</p></div></body></html>"
+    rows = [(i, "http://h/", page.format(n=i)) for i in range(12)] + [(20, "http://h/", ""), (21, "http://h/", "<p>404</p>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(12)} | {20: "", 21: "404"}
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"), (2, "a/b/c.py", "print(1)"), (3, "a/b/d.py", "x\nLicensed under the Apache License, Version 2.0\n" + "y " * 50),
