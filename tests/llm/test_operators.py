@@ -320,6 +320,19 @@ def test_template_outlasts_pages_without_it(spark):
     assert got == {i: f"Story {i}" for i in range(12)} | {20: "", 21: "404"}
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<main><h1>Title</h1><p>The whole body stands here</p><article class='card'>Teaser</article></main>", "Title\n\nThe whole body stands here\n\nTeaser"),
+        ("<main><h1>Title</h1><article><p>Body</p></article><p>Closing</p></main>", "Title\n\nBody\n\nClosing"),
+        ("<div><p>The whole body stands here</p></div><div class='content'>Box</div>", "The whole body stands here\n\nBox"),
+        ("<div>Frame</div><article><p>The whole body stands here</p></article>", "The whole body stands here"),
+    ],
+)
+def test_regions_around_an_article_stay(page, text):
+    assert "\n\n".join(html_extract.choose(html_extract.scan(page)[1], set())) == text
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"), (2, "a/b/c.py", "print(1)"), (3, "a/b/d.py", "x\nLicensed under the Apache License, Version 2.0\n" + "y " * 50),
