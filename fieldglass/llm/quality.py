@@ -22,8 +22,6 @@ CUTOFF = 28.473
 LEAST = 50
 #: Concentration ends once no group's log determinant falls by more than SETTLED; bins of distance can make it swing, so steps are bounded.
 SETTLED, MOST_STEPS = 1e-3, 30
-#: Words up to which a window's hash and place fit one long with 46 bits of hash; longer texts sort (hash, place) pairs.
-PACKED = 1 << 17
 
 
 def counts(text: Column) -> dict[str, Column]:
@@ -39,25 +37,26 @@ def counts(text: Column) -> dict[str, Column]:
 
 
 def repeat_words() -> Column:
-    """Words in 3-word windows that the array `words` has twice, from the hashes h of its windows.
+    """Words in 3-word windows that the array `words` has twice; h has a hash for each window.
 
-    Without equal hashes the answer is 0. Else (hash, place) is sorted, so that equal windows are neighbours; a window at place
-    i covers words i to i + 2, and places that overlap count once.
+    Without equal hashes the answer is 0. Else hash and place, packed into one number, are sorted, and neighbours with one hash
+    are compared word by word. If all of them are equal, they are the repeated windows; if two differ (different windows with
+    one hash), the windows themselves are sorted. Places that overlap count once.
     """
     bits = "greatest(1, cast(ceil(log2(size(h) + 1)) AS int))"
-    packed = f"""
+    neighbours = "zip_with(s, slice(s, 2, size(s)), (a, c) -> named_struct('a', a, 'c', c))"
+    place = "cast(z.{0} & (shiftleft(1L, b) - 1) AS int)"
+    found = f"""
       transform(array({bits}), b ->
         transform(array(sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, b), b) | cast(i AS bigint)))), s ->
-          sort_array(array_distinct(flatten(transform(
-            filter(zip_with(s, slice(s, 2, size(s)), (a, b) -> named_struct('a', a, 'b', b)), z -> shiftright(z.a, b) = shiftright(z.b, b)),
-            z -> array(z.a & (shiftleft(1L, b) - 1), z.b & (shiftleft(1L, b) - 1))))))
+          transform(filter({neighbours}, z -> shiftright(z.a, b) = shiftright(z.c, b)), z -> named_struct('a', {place.format("a")}, 'c', {place.format("c")}))
         )[0])[0]"""
-    pairs = """
-      transform(array(sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', cast(i AS bigint))))), s ->
-        sort_array(array_distinct(flatten(transform(
-          filter(zip_with(s, slice(s, 2, size(s)), (a, b) -> named_struct('a', a, 'b', b)), z -> z.a.x = z.b.x), z -> array(z.a.i, z.b.i))))))[0]"""
-    places = f"CASE WHEN size(h) <= {PACKED} THEN {packed} ELSE {pairs} END"
-    covered = f"transform(array({places}), p -> aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> named_struct('a', a, 'b', b)), 0L, (n, z) -> n + least(3L, coalesce(z.b - z.a, 3L))))[0]"
+    differ = "exists(found, z -> NOT (words[z.a] = words[z.c] AND words[z.a + 1] = words[z.c + 1] AND words[z.a + 2] = words[z.c + 2]))"
+    places = "sort_array(array_distinct(flatten(transform({0}, z -> array(z.a, z.c)))))"
+    window = "named_struct('x', words[i], 'y', words[i + 1], 'z', words[i + 2], 'i', i)"
+    sorted_ = f"transform(array(sort_array(transform(h, (x, i) -> {window}))), s -> transform(filter({neighbours}, z -> z.a.x = z.c.x AND z.a.y = z.c.y AND z.a.z = z.c.z), z -> named_struct('a', z.a.i, 'c', z.c.i)))[0]"
+    chosen = f"transform(array({found}), found -> CASE WHEN {differ} THEN {places.format(sorted_)} ELSE {places.format('found')} END)[0]"
+    covered = f"transform(array({chosen}), p -> aggregate(zip_with(p, slice(p, 2, size(p)), (a, c) -> named_struct('a', a, 'c', c)), 0L, (n, z) -> n + least(3, coalesce(z.c - z.a, 3))))[0]"
     return F.expr(f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {covered} END")
 
 
