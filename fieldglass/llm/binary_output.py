@@ -76,12 +76,10 @@ def read_record(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[UnitCodec, int]:
-    """Units of a byte-level BPE: single white space always starts a new word. One thread: the tasks fill the cores."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """Units of a byte-level BPE: single white space always starts a new word."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # what a text says is ordinary text
     width = 2 if max(tok.get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
     pack = lambda texts: [array("H" if width == 2 else "I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     starts = np.zeros(tok.get_vocab_size(), bool)
@@ -96,7 +94,9 @@ def encoder(path: str) -> tuple[UnitCodec, int]:
         data, at = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
         return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    return UnitCodec(f"<u{width}", pack, rest, pack, remember=400_000), width
+    # texts that hold a token of the tokenizer's own list (such as an end mark) are encoded whole
+    added = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+    return UnitCodec(f"<u{width}", pack, rest, pack, remember=400_000, avoid=added), width
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -108,6 +108,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     folder = work_path(docs.sparkSession, "token-shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks fill the cores
         codec, width = encoder(tokenizer_path)
         end = int(end_id).to_bytes(width, "little")
         fs, base = _opened(folder)

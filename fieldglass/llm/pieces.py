@@ -35,10 +35,10 @@ class UnitCodec:
     Units end at single spaces and line feeds. A unit after a space takes the space along; one that starts a line doesn't.
     Texts with other runs of white space go to the tokenizer whole, and so does every text if `splits` is false. `rest` encodes
     units after a space, `first` units at a line's start, `whole` texts: lists of strings to lists of packed ids of `kind`. A
-    text's very first unit is taken as one after a space if `marked`. Texts that hold `avoid` go whole too.
+    text's very first unit is taken as one after a space if `marked`. Texts that hold a string of `avoid` go whole too.
     """
 
-    def __init__(self, kind: str, first: Callable, rest: Callable, whole: Callable, marked: bool = False, splits: bool = True, remember: int = CACHED_UNITS, avoid: str | None = None):
+    def __init__(self, kind: str, first: Callable, rest: Callable, whole: Callable, marked: bool = False, splits: bool = True, remember: int = CACHED_UNITS, avoid: tuple[str, ...] = ()):
         self.kind, self.first, self.rest, self.whole, self.marked, self.splits = np.dtype(kind), first, rest, whole, marked, splits
         self.remember, self.avoid = remember, avoid
         self.line_feed = whole(["x\n"])[0][len(whole(["x"])[0]) :] if splits else b""
@@ -70,8 +70,8 @@ class UnitCodec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(texts), bool)
-        if self.splits and self.avoid:
-            odd = odd | pc.match_substring(texts, self.avoid).to_numpy(zero_copy_only=False)
+        for what in self.avoid if self.splits else ():
+            odd = odd | pc.match_substring(texts, what).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
         # a line's start is a unit that begins with its line feed
         cut = pc.replace_substring(plain, "\n", " \n")

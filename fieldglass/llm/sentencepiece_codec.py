@@ -135,7 +135,7 @@ class Codec:
             self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.differ: set[str] = set()
         self.bare = build(replace(self.model, add_dummy_prefix=False))
-        self.units = UnitCodec("<i4", self._bare, self._packed, self._packed, marked=True, splits=self.model.splits_at_spaces, avoid=MARKER)
+        self.units = UnitCodec("<i4", self._bare, self._packed, self._packed, marked=True, splits=self.model.splits_at_spaces, avoid=(MARKER,))
         self.table = []
         for p, kind in zip(self.model.pieces, self.model.types, strict=True):
             self.table.append(bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARKER, " ").encode())

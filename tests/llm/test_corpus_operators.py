@@ -155,6 +155,16 @@ def test_quality_rejects_lines_or_repeats_alone(spark):
     assert all(r["kept"] == (i < 1000) for i, r in got.items())
 
 
+def test_windows_that_share_a_hash(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice("abc") for _ in range(rng.randint(3, 40))]) for i in range(40)]
+    table = spark.createDataFrame(rows, "i int, words array<string>").withColumn("h", F.expr("transform(sequence(1, size(words) - 2), k -> 7L)"))
+    for r in table.select("i", "words", quality.repeat_words().alias("n")).collect():
+        w = r["words"]
+        seen = Counter(zip(w, w[1:], w[2:]))
+        assert r["n"] == len({j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)})
+
+
 def test_long_text_repeats(spark):
     text = " ".join(str(i % 70_000) for i in range(140_000))  # over the packed limit, half of it repeats
     row = quality.quality(spark.createDataFrame([(1, text, None, None, None, 0, "x")], SCHEMA)).head()
@@ -245,7 +255,8 @@ def test_binary_output(spark, docs, texts, none):
 
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    texts = [*texts, *[(1000 + i, t) for i, t in enumerate(["a <|endoftext|> b<|endoftext|>", "<|endoftext|>", " x\n<|endoftext|>\ny z"])]]
+    docs = spark.createDataFrame([(i, t, None, None, None, i, "x") for i, t in texts], SCHEMA).repartition(5)
     shards = binary_output.write_shards(docs, path)
     got = by_id(binary_output.read_shards(shards))
     start = 0
