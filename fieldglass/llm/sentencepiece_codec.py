@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from array import array
 from collections.abc import Iterator
@@ -92,7 +93,7 @@ def parse(data: bytes) -> Model:
 
 def build(model: Model):
     """A tokenizers.Tokenizer that does what the model says."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import Regex, Tokenizer, models, normalizers
 
     if model.model_type == UNIGRAM:
         core = models.Unigram(list(zip(model.pieces, model.scores, strict=True)), model.unk_id, model.byte_fallback)
@@ -115,11 +116,17 @@ def build(model: Model):
     if model.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARKER))
     out.normalizer = normalizers.Sequence(steps)
-    tail = [decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else []
-    out.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+    out.decoder = decoder(model)
     return out
 
 
+def decoder(model: Model):
+    from tokenizers import decoders
+
+    tail = [decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else []
+    return decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+
+
 class Codec:
     """Encoder and decoder of one model file, with the sentencepiece library beside it to verify parity."""
 
@@ -127,14 +134,17 @@ class Codec:
         with open(path, "rb") as f:
             data = f.read()
         self.model = parse(data)
-        self.tokenizer = build(self.model)
+        # where units are cut at spaces the caller sets the dummy prefix, so that one tokenizer serves units with and without it
+        self.own_prefix = not self.model.splits_at_spaces
+        self.tokenizer = build(self.model if self.own_prefix else replace(self.model, add_dummy_prefix=False))
+        if not self.own_prefix:
+            self.tokenizer.decoder = decoder(self.model)
         self.sp = None
         if verify:
             import sentencepiece
 
             self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.differ: set[str] = set()
-        self.bare = build(replace(self.model, add_dummy_prefix=False))
         self.units = UnitCodec("<i4", self._bare, self._packed, self._packed, marked=True, splits=self.model.splits_at_spaces, avoid=(MARKER,))
         self.table = []
         for p, kind in zip(self.model.pieces, self.model.types, strict=True):
@@ -142,14 +152,15 @@ class Codec:
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         """Ids of texts with the dummy prefix; the same units come after spaces."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        asked = texts if self.own_prefix else [MARKER + t if t else t for t in texts]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
         if self.sp is not None:
             self.differ.update(t for t, a, b in zip(texts, got, self.sp.encode(texts, num_threads=2), strict=True) if a != b)
         return [array("i", ids).tobytes() for ids in got]
 
     def _bare(self, units: list[str]) -> list[bytes]:
         """Ids of units at the start of a later line, which have no marker; parity is seen behind a line feed."""
-        got = [e.ids for e in self.bare.encode_batch_fast(units, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         if self.sp is not None:
             before = len(self.sp.encode("\n"))
             self.differ.update(u for u, a, b in zip(units, got, self.sp.encode(["\n" + u for u in units], num_threads=2), strict=True) if a != b[before:])
@@ -191,6 +202,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         own = codec(model_path, verify)
         for batch in batches:
             at = 0
