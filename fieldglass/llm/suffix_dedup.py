@@ -4,7 +4,8 @@ Any string of LEAST bytes holds an anchor: the smallest hash among its GRAM-byte
 anchors deal the corpus out: a stretch of neighbouring start positions with one anchor is a segment, and all segments of an
 anchor meet at one owner, which sorts the suffixes of its segments with the difference-cover algorithm. Anchors that only one
 document has can't start a repeat and are left where they are; what travels is anchors once per block, then segments once per
-block, so a passage of any frequency costs an owner one segment per block.
+block, so a passage of any frequency costs an owner one segment per block. Anchors that very many documents have, each in
+other surroundings, are split: their segments are cut to single start positions, which are dealt by their 50 bytes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ LEAST, GRAM = 50, 24
 WINDOW = LEAST - GRAM + 1
 #: Bytes of text in a block file, hashed at a time, and for each bucket of anchors and each owner of segments.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES, OWNER_BYTES = 24 << 20, 1 << 20, 32 << 20, 2 << 20
+#: Documents (counted block by block) from which an anchor's start positions are dealt one by one.
+HOT_DOCS = 4096
+#: Bytes that are compared at a time.
+COMPARED = 1 << 22
 NO_DOC = np.iinfo("i8").max
 
 
@@ -174,6 +179,78 @@ def segment_keys(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
 
 
+def equal_ranges(raw: np.ndarray, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether raw[a[i]:a[i] + size_a[i]] and raw[b[i]:b[i] + size_b[i]] are the same bytes."""
+    out = size_a == size_b
+    asked = np.flatnonzero(out & (a != b))
+    ends = np.cumsum(size_a[asked])
+    at = 0
+    while at < len(asked):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, "right")))
+        own = asked[at:to]
+        size = size_a[own]
+        first = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(first, size)
+        out[own] = ~np.logical_or.reduceat(raw[np.repeat(a[own], size) + inner] != raw[np.repeat(b[own], size) + inner], first)
+        at = to
+    return out
+
+
+class Names:
+    """Names of byte strings of `raw`: their hashes, but where two different strings share one, the later gets another name. So
+    equal names mean equal bytes; the same calls give the same names again."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        self.seen, self.at, self.size = np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
+
+    def of(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(names, whether a string is the first with its name) of raw[begin[i]:begin[i] + size[i]] with hashes `keys`."""
+        names, new, todo = keys.copy(), np.zeros(len(keys), bool), np.arange(len(keys))
+        while len(todo):
+            found, first, which = np.unique(names[todo], return_index=True, return_inverse=True)
+            j = np.searchsorted(self.seen, found)
+            known = np.zeros(len(found), bool)
+            if len(self.seen):
+                known = (j < len(self.seen)) & (self.seen[np.minimum(j, len(self.seen) - 1)] == found)
+            at, length = begin[todo[first]], size[todo[first]]
+            at[known], length[known] = self.at[j[known]], self.size[j[known]]
+            new[todo[first[~known]]] = True
+            self.seen, self.at, self.size = (np.insert(old, j[~known], more[~known]) for old, more in ((self.seen, found), (self.at, at), (self.size, length)))
+            todo = todo[~equal_ranges(self.raw, begin[todo], size[todo], at[which], length[which])]
+            names[todo] = mix(names[todo] + np.uint64(0x9E3779B97F4A7C15))
+        return names, new
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def named_segments(texts: list[bytes], common: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    """For chunks of texts: (first text, text after the last, data, text, start, stop, names, new, dealing) of the segments at the
+    sorted anchors `common`. Segments at `hot` anchors are cut to single start positions. dealing: the hash that deals them out,
+    the anchor's or, of single positions, that of their bytes."""
+    offset = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype("i8")
+    names = Names(np.frombuffer(b"".join(texts), "u1"))
+    parts = [(lo, hi) for lo, hi in chunked(texts) if offset[hi] - offset[lo] >= LEAST]
+    for (lo, hi), (data, total, text, start, stop, anchor) in zip(parts, runs(texts), strict=True):
+        ok = _among(anchor, common)
+        text, start, stop, anchor = text[ok], start[ok], stop[ok], anchor[ok]
+        single = _among(anchor, hot)
+        if single.any():
+            count = np.where(single, stop - start + 1, 1)
+            row = np.repeat(np.arange(len(start)), count)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            text, anchor, single = text[row], anchor[row], single[row]
+            start, stop = start[row] + inner, np.where(single, start[row] + inner, stop[row])
+        keys = segment_keys(total, start, stop)
+        own, new = names.of(keys, offset[lo] + start, stop + LEAST - start)
+        yield lo, hi, data, text, start, stop, own, new, np.where(single, keys, anchor)
+
+
 def _fs(uri: str):
     from pyarrow.fs import FileSystem
 
@@ -191,14 +268,14 @@ def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int64()), ("uri", pa.string()), ("once", pa.binary()), ("more", pa.binary())])
-_COMMON = pa.schema([("uri", pa.string()), ("anchors", pa.binary())])
+_ANCHORS = pa.schema([("bucket", pa.int64()), ("uri", pa.string()), ("once", pa.binary()), ("more", pa.binary()), ("docs", pa.binary())])
+_COMMON = pa.schema([("uri", pa.string()), ("anchors", pa.binary()), ("hot", pa.binary())])
 _SEGMENTS = pa.schema([("owner", pa.int64()), ("uri", pa.string()), ("keys", pa.binary()), ("docs", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 _HOLDERS = pa.schema([("uri", pa.string()), ("keys", pa.binary()), ("n_runs", pa.binary()), ("runs", pa.binary()), ("holders", pa.binary())])
 _FOUND = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _DDL = {
-    "anchors": "bucket bigint, uri string, once binary, more binary",
-    "common": "uri string, anchors binary",
+    "anchors": "bucket bigint, uri string, once binary, more binary, docs binary",
+    "common": "uri string, anchors binary, hot binary",
     "segments": "owner bigint, uri string, keys binary, docs binary, lengths binary, data binary",
     "holders": "uri string, keys binary, n_runs binary, runs binary, holders binary",
     "found": "id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string",
@@ -209,8 +286,13 @@ def _u8(x) -> np.ndarray:
     return np.frombuffer(x, "u8")
 
 
-def block_anchors(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors that one document of the block has, and those that more have."""
+def _cat(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def block_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors that one document of the block has, those that more have, and how many have each of these."""
     found = []
     for _, _, text, _, _, anchor in runs(texts):
         order = np.lexsort((anchor, text))
@@ -219,10 +301,22 @@ def block_anchors(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.n
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         found.append(anchor[new])
     values, counts = np.unique(np.concatenate(found) if found else np.empty(0, "u8"), return_counts=True)
-    return values[counts == 1], values[counts > 1]
+    return values[counts == 1], values[counts > 1], counts[counts > 1].astype("u4")
+
 
+def by_bucket(buckets: int, once: np.ndarray, more: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """The anchors of a block by bucket, for the buckets that get any."""
+    parts = []
+    for values, *others in ((once,), (more, docs)):
+        of = values % np.uint64(buckets)
+        order = np.argsort(of, kind="stable")
+        parts.append((of[order], [x[order] for x in (values, *others)]))
+    for k in np.unique(np.concatenate([of for of, _ in parts])):
+        cut = lambda of, x: x[np.searchsorted(of, k) : np.searchsorted(of, k, "right")].tobytes()  # noqa: B023, E731
+        yield int(k), cut(parts[0][0], parts[0][1][0]), cut(parts[1][0], parts[1][1][0]), cut(parts[1][0], parts[1][1][1])
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes (null: empty). A byte goes if a string of LEAST bytes that covers it also starts in a document with a
@@ -261,9 +355,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             table = pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
             with fs.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(table, max_chunksize=1000)
-            once, more = block_anchors(texts, np.array(ids))
-            of = [x % np.uint64(buckets) for x in (once, more)]
-            return _packed([(k, f"{folder}/{name}", once[of[0] == k].tobytes(), more[of[1] == k].tobytes()) for k in range(buckets)], _ANCHORS)
+            return _packed([(k, f"{folder}/{name}", *rest) for k, *rest in by_bucket(buckets, *block_anchors(texts))], _ANCHORS)
 
         for batch in batches:
             for doc, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
@@ -278,9 +370,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def shared(table: pa.Table) -> pa.Table:
         own = [(u, _u8(a), _u8(b)) for u, a, b in zip(table.column("uri").to_pylist(), table.column("once").to_pylist(), table.column("more").to_pylist(), strict=True)]
-        values, counts = np.unique(np.concatenate([x for _, a, b in own for x in (a, b, b)]), return_counts=True)
-        values = values[counts > 1]
-        rows = [(u, np.intersect1d(np.concatenate((a, b)), values, assume_unique=True).tobytes()) for u, a, b in own]
+        every = np.concatenate([x for _, a, b in own for x in (a, b)])
+        docs_of = np.concatenate([x for (_, a, _), d in zip(own, table.column("docs").to_pylist(), strict=True) for x in (np.ones(len(a), "i8"), np.frombuffer(d, "u4").astype("i8"))])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        heads = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        sums = np.add.reduceat(docs_of[order], heads)
+        values, hot = every[heads][sums > 1], every[heads][sums >= hot_docs]
+        rows = [(u, x[_among(x, values)].tobytes(), x[_among(x, hot)].tobytes()) for u, x in ((u, np.concatenate((a, b))) for u, a, b in own)]
         return pa.Table.from_batches([_packed([r for r in rows if r[1]], _COMMON)])
 
     def deal(key: tuple, table: pa.Table) -> pa.Table:
@@ -288,18 +385,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts, ids = _read_block(uri)
         rising = np.argsort(ids, kind="stable")  # so that the first of equal segments has the smallest document
         texts, ids = [texts[i] for i in rising], ids[rising]
-        common = np.sort(np.concatenate([_u8(x) for x in table.column("anchors").to_pylist()]))
-        seen = np.empty(0, "u8")
         rows = []
-        for data, total, text, start, stop, anchor in runs(texts):
-            k = np.searchsorted(common, anchor)
-            ok = np.flatnonzero(common[np.minimum(k, len(common) - 1)] == anchor)
-            keys = segment_keys(total, start[ok], stop[ok])
-            keys, first = np.unique(keys, return_index=True)
-            new = ~np.isin(keys, seen, assume_unique=True)
-            keys, ok = keys[new], ok[first[new]]
-            seen = np.concatenate((seen, keys))
-            owner = (anchor[ok] >> np.uint64(20)) % np.uint64(owners)
+        for lo, _, data, text, start, stop, names, new, dealing in named_segments(texts, np.sort(_cat(table, "anchors", "u8")), np.sort(_cat(table, "hot", "u8"))):
+            keys, ok, owner = names[new], np.flatnonzero(new), (dealing[new] >> np.uint64(20)) % np.uint64(owners)
             by = np.argsort(owner, kind="stable")
             keys, ok, owner = keys[by], ok[by], owner[by]
             lengths = stop[ok] + LEAST - start[ok]
@@ -315,11 +403,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sort_owner(table: pa.Table) -> pa.Table:
         uris = table.column("uri").to_pylist()
         per_uri = [_u8(x) for x in table.column("keys").to_pylist()]
-        keys = np.concatenate(per_uri)
-        doc = np.concatenate([np.frombuffer(x, "i8") for x in table.column("docs").to_pylist()])
-        lengths = np.concatenate([np.frombuffer(x, "u4") for x in table.column("lengths").to_pylist()]).astype("i8")
-        data = np.concatenate([np.frombuffer(x, "u1") for x in table.column("data").to_pylist()])
+        doc, lengths, data = _cat(table, "docs", "i8"), _cat(table, "lengths", "u4").astype("i8"), _cat(table, "data", "u1")
         begin = np.cumsum(lengths) - lengths
+        keys, _ = Names(data).of(np.concatenate(per_uri), begin, lengths)  # blocks may have named different segments alike
         by = np.lexsort((doc, keys))
         one = by[np.concatenate(([True], keys[by][1:] != keys[by][:-1]))]  # different segments, the smallest document of each
         names, size, docs_of = keys[one], lengths[one], doc[one]
@@ -338,24 +424,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         run_len = np.diff(np.concatenate((run_at, [len(holders)]))).astype("u4")
         first_run = np.searchsorted(run_at, offset)
         n_runs = np.diff(np.concatenate((first_run, [len(run_at)])))
-        rows = []
+        rows, at = [], 0
         for uri, own in zip(uris, per_uri, strict=True):
-            k = np.searchsorted(names, own)
+            k = np.searchsorted(names, keys[at : at + len(own)])
+            at += len(own)
             pick = np.repeat(first_run[k] - (np.cumsum(n_runs[k]) - n_runs[k]), n_runs[k]) + np.arange(n_runs[k].sum())
             rows.append((uri, own.tobytes(), n_runs[k].astype("u4").tobytes(), run_len[pick].tobytes(), holders[run_at[pick]].tobytes()))
         return pa.Table.from_batches([_packed(rows, _HOLDERS)])
 
-    def mark(key: tuple, table: pa.Table) -> pa.Table:
+    def mark(key: tuple, table: pa.Table, at: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_batches([_packed([], _FOUND)])
         texts, ids = _read_block(key[0].as_py())
-        cat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        keys, n_runs, run_len, holder = cat("keys", "u8"), cat("n_runs", "u4").astype("i8"), cat("runs", "u4").astype("i8"), cat("holders", "i8")
+        rising = np.argsort(ids, kind="stable")  # the order in which deal() named segments
+        texts, ids = [texts[i] for i in rising], ids[rising]
+        keys, n_runs, run_len, holder = _cat(table, "keys", "u8"), _cat(table, "n_runs", "u4").astype("i8"), _cat(table, "runs", "u4").astype("i8"), _cat(table, "holders", "i8")
         first_run = np.cumsum(n_runs) - n_runs
         by = np.argsort(keys)
         keys = keys[by]
         rows = []
-        chunks = chunked(texts)
-        for (lo, hi), (_data, total, text, start, stop, _) in zip([c for c in chunks if sum(len(t) for t in texts[c[0] : c[1]]) >= LEAST], runs(texts), strict=True):
-            k = segment_keys(total, start, stop)
+        for lo, hi, data, text, start, _, k, _, _ in named_segments(texts, np.sort(_cat(at, "anchors", "u8")), np.sort(_cat(at, "hot", "u8"))):
             j = np.searchsorted(keys, k)
             ok = np.flatnonzero((j < len(keys)) & (keys[np.minimum(j, len(keys) - 1)] == k)) if len(keys) else np.empty(0, "i8")
             own = by[j[ok]]
@@ -367,10 +455,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             before = np.cumsum(size) - size
             begin = start[segment] + before - np.repeat(before[np.cumsum(n) - n], n) if len(size) else before
             gone = holder[pick] < ids[text[segment]]
-            delta = np.zeros(len(total) + 1, "i8")
+            delta = np.zeros(len(data) + 2, "i8")
             np.add.at(delta, begin[gone], 1)
             np.add.at(delta, (begin + size + LEAST - 1)[gone], -1)
-            covered = np.cumsum(delta)[: len(total) - 1] > 0
+            covered = np.cumsum(delta)[: len(data)] > 0
             ends = np.cumsum([len(t) for t in texts[lo:hi]])
             for i in np.unique(text[segment[gone]]):
                 b, e = int(ends[i - lo] - len(texts[i])), int(ends[i - lo])
@@ -385,7 +473,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = stored(anchors.groupBy("bucket").applyInArrow(shared, _DDL["common"]), "common-anchors")
     segments = common.groupBy("uri").applyInArrow(deal, _DDL["segments"])
     holders = segments.groupBy("owner").applyInArrow(sort_owner, _DDL["holders"])
-    found = stored(holders.groupBy("uri").applyInArrow(mark, _DDL["found"]).distinct(), "removed")
+    found = stored(holders.groupBy("uri").cogroup(common.groupBy("uri")).applyInArrow(mark, _DDL["found"]).distinct(), "removed")
     found = found.withColumnRenamed("id", "found_id").withColumnRenamed("sha", "found_sha")
     out = placed.join(sized(found), (F.col("id") == F.col("found_id")) & (F.col("sha") == F.col("found_sha")), "left")
     whole = F.col("copy") & (F.col("n_bytes") >= LEAST)

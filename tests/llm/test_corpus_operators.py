@@ -215,15 +215,28 @@ def test_suffix_order():
         assert sorted(order) == list(range(len(s))) and all(plain[a : a + depth] <= plain[b : b + depth] for a, b in zip(order, order[1:]))
 
 
-def test_suffix_dedup(spark, docs, texts, none):
-    extra = [(900 + i, ("q" * 60 + str(i)) * 3 + (texts[2][1] or "")[:80], None, None, None, 0, "x") for i in range(4)]
+def test_names_tell_strings_with_one_hash_apart():
+    raw = np.frombuffer(b"abcabdabcabdxx", "u1")
+    begin, size = np.array([0, 3, 6, 9, 0, 12]), np.array([3, 3, 3, 3, 2, 2])
+    names = suffix_dedup.Names(raw)
+    got, new = names.of(np.full(6, 7, "u8"), begin, size)
+    assert got[0] == got[2] and got[1] == got[3] and len(set(got.tolist())) == 4 and new.tolist() == [True, True, False, False, True, True]
+    again, new = names.of(np.full(3, 7, "u8"), np.array([9, 6, 12]), np.array([3, 3, 2]))
+    assert again.tolist() == [got[1], got[0], got[5]] and not new.any()
+
+
+@pytest.mark.parametrize("hot_docs", [suffix_dedup.HOT_DOCS, 3])
+def test_suffix_dedup(spark, docs, texts, none, hot_docs):
+    line = "a line of over fifty bytes that every one of them holds, in other surroundings each time"
+    extra = [(950 + i, f"{texts[i][1]} {line[: 60 + i]} {texts[i + 20][1]}", None, None, None, 0, "x") for i in range(12)]
+    extra += [(900 + i, ("q" * 60 + str(i)) * 3 + (texts[2][1] or "")[:80], None, None, None, 0, "x") for i in range(4)]
     table = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
     data = {r["doc_id"]: (r["text"] or "").encode() for r in table.collect()}
     first = {}
     for i in sorted(data):
         for p in range(len(data[i]) - 49):
             first.setdefault(data[i][p : p + 50], i)
-    got = by_id(suffix_dedup.remove_repeats(table))
+    got = by_id(suffix_dedup.remove_repeats(table, hot_docs=hot_docs))
     for i, b in data.items():
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 49):
