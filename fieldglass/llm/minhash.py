@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ BITMAP = 32
 BLOCK = 2048
 #: Rounds in which each bucket that spans components compares all its members with one more pivot, before all that is left.
 PIVOTS = 3
+#: Members of a bucket, or of a part of one, that are paired in one place; fuller buckets are split.
+CELL = 2048
 
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 1 << 32, PERMUTATIONS, dtype="u4")[:, None] | np.uint32(1)
@@ -100,18 +103,46 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, set array<bigint>, bits array<bigint>")
 
 
-def rest_of_pairs(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def in_cells(members: DataFrame, percent: int, most: int = CELL) -> DataFrame:
+    """Adds own (the part of its bucket that a member is in) and cell to members (key, rep, n, ...): two members of a bucket that
+    are similar enough in size have one cell in common, and a cell has about two parts, 2 * most members, at most.
+
+    Parts are size classes, wide enough that linked sets are in one class or in neighbouring ones, each dealt by hash into
+    parts of about `most`. A cell is a pair of parts. A bucket of up to `most` members is one part and one cell.
+    """
+    step = math.log(100 / percent) * 1.01
+    members = members.withColumn("class", F.floor(F.log("n") / step))
+    per = stored(members.groupBy("key", "class").agg(F.count("*").alias("m")), "classes-of-buckets")
+    near = lambda by, name: per.select("key", (F.col("class") + by).alias("class"), F.ceil(F.col("m") / most).alias(name))
+    whole = per.groupBy("key").agg(F.sum("m").alias("all")).where(F.col("all") > most).select("key")
+    split = per.join(whole, "key", "left_semi").select("key", "class", F.ceil(F.col("m") / most).alias("parts")).join(near(-1, "above"), ["key", "class"], "left").join(near(1, "below"), ["key", "class"], "left")
+    placed = members.join(sized(stored(split, "split-buckets")), ["key", "class"], "left")
+    up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<bigint>"))
+    part, kind = F.pmod(F.xxhash64("rep"), F.col("parts")), F.col("class")
+    cell = lambda a, i, b, j: F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"))
+    cells = F.concat(
+        F.transform(up_to("parts"), lambda j: cell(kind, F.least(part, j), kind, F.greatest(part, j))),
+        F.transform(up_to("above"), lambda j: cell(kind, part, kind + 1, j)),
+        F.transform(up_to("below"), lambda j: cell(kind - 1, j, kind, part)),
+    )
+    zero = F.lit(0).cast("long")
+    one = F.col("parts").isNull()
+    placed = placed.withColumn("own", F.when(~one, F.struct(kind.alias("a"), part.alias("i"))))
+    return placed.withColumn("cell", F.explode(F.when(one, F.array(cell(zero, zero, zero, zero))).otherwise(cells))).drop("class", "parts", "above", "below")
+
+
+def rest_of_pairs(members: DataFrame, info: DataFrame, percent: int, most: int = CELL) -> DataFrame:
     """All pairs of a bucket's members (key, place, rep, n, label) with different labels that could be similar enough.
 
     Sets that share `percent` of their union differ in at most (100 - percent) / (100 + percent) of their sizes' sum, and
-    bitmaps in no more bits: pairs over the bound can't be links. A pair comes from the first of its common buckets. info: bits
-    and bands of each rep.
+    bitmaps in no more bits: pairs over the bound can't be links. A pair comes from the first of its common buckets. Fuller
+    buckets are paired cell by cell. info: bits and bands of each rep.
     """
-    fat = members.join(info, "rep").select("key", "place", "rep", "n", "label", "bands", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)])
-    other = fat.select("key", *[F.col(c).alias(f"p_{c}") for c in fat.columns if c not in ("key", "place")])
+    fat = in_cells(members, percent, most).join(info, "rep").select("key", "cell", "own", "place", "rep", "n", "label", "bands", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)])
+    other = fat.select("key", "cell", *[F.col(c).alias(f"p_{c}") for c in fat.columns if c not in ("key", "cell", "place")])
     differ = " + ".join(f"bit_count(w{i} ^ p_w{i})" for i in range(BITMAP))
-    met = fat.join(other, "key").where(
-        f"rep < p_rep AND label <> p_label AND 100 * least(n, p_n) >= {percent} * greatest(n, p_n) "
+    met = fat.join(other, ["key", "cell"]).where(
+        f"rep < p_rep AND label <> p_label AND 100 * least(n, p_n) >= {percent} * greatest(n, p_n) AND (own IS NULL OR own <> p_own OR (cell.a = cell.b AND cell.i = cell.j)) "
         f"AND {100 + percent} * ({differ}) <= {100 - percent} * (n + p_n) AND NOT arrays_overlap(slice(bands, 1, place), slice(p_bands, 1, place))"
     )
     return met.select(F.col("rep").alias("a"), F.col("p_rep").alias("b"))

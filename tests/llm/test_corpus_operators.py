@@ -196,6 +196,26 @@ def test_near_dedup(docs, texts, none, k):
     assert {r["doc_id"] for r in minhash.keep_one(docs, k=k).collect()} == {i for i in sets if root(i) == i}
 
 
+def test_cells_hold_every_pair_of_like_sizes_once(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice([rng.randint(1, 12), rng.randint(90, 130)])) for k, m in ((1, 120), (2, 9), (3, 40)) for i in range(m)]
+    got = minhash.in_cells(spark.createDataFrame(rows, "key long, rep long, n long"), 80, most=16)
+    met, sizes = Counter(), Counter()
+    cells: dict = {}
+    for r in got.collect():
+        cells.setdefault((r["key"], r["cell"]), []).append(r)
+        sizes[r["key"], r["cell"]] += 1
+    for (key, cell), rs in cells.items():
+        for x in rs:
+            for y in rs:
+                if x["rep"] < y["rep"] and (x["own"] is None or x["own"] != y["own"] or (cell["a"], cell["i"]) == (cell["b"], cell["j"])):
+                    met[key, x["rep"], y["rep"]] += 1
+    assert set(met.values()) == {1} and max(sizes.values()) < 80
+    n = {(k, i): s for k, i, s in rows}
+    due = {(k, i, j) for k, i in n for j in range(i + 1, 120) if (k, j) in n and 100 * min(n[k, i], n[k, j]) >= 80 * max(n[k, i], n[k, j])}
+    assert due <= set(met)
+
+
 def test_bitmaps_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(50):
