@@ -8,14 +8,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = "\\x20\\x09-\\x0D"
 WORD = f"[^{WS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Most rows of two or three numbers that are broadcast (below 100 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of values that are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -30,9 +31,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (one machine)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets a temporary
+    one; a cluster raises, because its executors don't share the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="fieldglass-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -67,9 +72,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a stored table for broadcast if it has `limit` rows at most; else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def width(field: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.AtomicType):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a stored table for broadcast if its values take `limit` bytes at most; else leaves the join to a shuffle."""
+    per_row = F.lit(16)
+    for field in df.schema.fields:
+        per_row = per_row + width(field)
+    return F.broadcast(df) if (df.agg(F.sum(per_row.cast("long"))).head()[0] or 0) <= limit else df
 
 
 def uniform(*cols: Column) -> Column:
