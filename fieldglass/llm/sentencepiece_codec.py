@@ -21,6 +21,8 @@ MARKER = "▁"
 #: Fixed values of the model format: piece types, and the model types of the trainer specification.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Units that a worker remembers in each of two generations, and bytes of text that it encodes at a time: a worker stays near 100 MB.
+CACHED_UNITS, CHUNK_BYTES = 100_000, 1_000_000
 
 
 @dataclass
@@ -145,7 +147,7 @@ class Codec:
 
             self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.differ: set[str] = set()
-        self.units = UnitCodec("<i4", self._bare, self._packed, self._packed, marked=True, splits=self.model.splits_at_spaces, avoid=(MARKER,))
+        self.units = UnitCodec("<i4", self._bare, self._packed, self._packed, marked=True, splits=self.model.splits_at_spaces, remember=CACHED_UNITS, avoid=(MARKER,))
         self.table = []
         for p, kind in zip(self.model.pieces, self.model.types, strict=True):
             self.table.append(bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARKER, " ").encode())
@@ -206,7 +208,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         own = codec(model_path, verify)
         for batch in batches:
             at = 0
-            for texts in chunks(batch.column(1)):
+            for texts in chunks(batch.column(1), CHUNK_BYTES):
                 ids, offsets = own.encode(texts)
                 whole = texts.to_pylist()
                 decoded = [own.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -221,7 +223,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     names=[id_col, "n_tokens", "ids", "round_trip", "parity"],
                 )
                 at += len(texts)
-            give_back()
+                give_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {SCHEMA}")
 
