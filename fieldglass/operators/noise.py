@@ -189,24 +189,34 @@ def _each_match(text: Column, pattern: str, new: Callable[[Column, Column], Colu
 
 
 def num_decimal_shift(text: Column, key: Column) -> Column:
-    """Each decimal number is multiplied or divided by ten; it keeps its count of decimals."""
+    """Each decimal number is multiplied or divided by ten; it keeps its count of decimals, the last one rounded half up. The
+    point moves in the digits, which may be any number."""
+
+    def plain(whole: Column, rest: Column) -> Column:
+        whole = F.regexp_replace(whole, "^0+(?=.)", "")
+        return F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), rest)
+
+    def larger(digits: Column) -> Column:
+        """Digits plus one in the last place."""
+        nines = F.length(F.regexp_extract(digits, "9*$", 0))
+        kept = F.substring(digits, F.lit(1), F.length(digits) - nines)
+        up = F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), F.translate(F.substring(kept, -1, 1), "012345678", "123456789"))
+        return F.concat(F.when(kept == "", "1").otherwise(up), F.repeat(F.lit("0"), nines))
+
+    def divided(whole: Column, rest: Column) -> Column:
+        digits = F.concat(F.lit("0"), whole, rest)
+        cut = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        rounded = F.when(F.substring(digits, -1, 1) >= "5", larger(cut)).otherwise(cut)
+        return let(rounded, lambda d: plain(F.substring(d, F.lit(1), F.length(d) - F.length(rest)), F.substring(d, F.length(d) - F.length(rest) + 1, F.length(rest))))
 
     def shifted(x: Column, i: Column) -> Column:
-        decimals = F.length(F.substring_index(x, ".", -1))
-        wide = x.cast("decimal(30,10)") * F.when(uniform(key, "num_decimal_shift", i) < 0.5, F.lit("0.1").cast("decimal(2,1)")).otherwise(F.lit("10").cast("decimal(2,0)"))
-        return _fixed(wide, decimals)
+        whole, rest = F.substring_index(x, ".", 1), F.substring_index(x, ".", -1)
+        more = plain(F.concat(whole, F.substring(rest, 1, 1)), F.concat(F.substring(rest, F.lit(2), F.length(rest)), F.lit("0")))
+        return F.when(uniform(key, "num_decimal_shift", i) < 0.5, divided(whole, rest)).otherwise(more)
 
     return _each_match(text, r"\b\d+\.\d+\b", shifted)
 
 
-def _fixed(value: Column, decimals: Column) -> Column:
-    """A decimal with a given number of decimals, up to 6."""
-    out = F.round(value, 6).cast("decimal(30,6)").cast("string")
-    for d in range(1, 6):
-        out = F.when(decimals == d, F.round(value, d).cast(f"decimal(30,{d})").cast("string")).otherwise(out)
-    return out
-
-
 def date_format_vary(text: Column, key: Column) -> Column:
     """Dates in four notations, one after the other, turn into one of seven."""
 

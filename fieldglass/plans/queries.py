@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import jsonfix, normalize, similarity
 from ..operators import domains, generate, noise, predict, score, serialize, stats
 from ..sources import records
+from . import noise_sql
+from .noise_sql import u
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,11 +46,6 @@ ORDERS = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS key, [
   c_name AS vendor_name, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderdate AS day, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def u(*parts: str) -> str:
-    """SQL of functions.text.uniform: parts are SQL strings."""
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS UBIGINT) / 4294967296.0)"
-
-
 def money(c: str) -> str:
     return f"CASE WHEN {c} = floor({c}) THEN format('{{:,.0f}}', {c}) ELSE format('{{:,.2f}}', {c}) END"
 
@@ -195,8 +192,16 @@ _noised("ambiguous_key", f"""WITH {_LINES} SELECT id, string_agg(CASE WHEN i = f
 _noised("value_swap", f"""WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {u('id', repr('value_swap'), 'CAST(i AS VARCHAR)')}, i) AS r FROM l)
 SELECT a.id, string_agg(CASE WHEN a.r > 2 THEN a.line ELSE split_part(a.line, ':', 1) || ':' || substr(b.line, instr(b.line, ':') + 1) END, chr(10) ORDER BY a.i) AS text
 FROM r a LEFT JOIN r b ON a.id = b.id AND a.r + b.r = 3 GROUP BY a.id""")
-for _tag in ("char_sub", "char_del", "char_transpose", "merged_lines", "split_line", "delimiter_swap", "num_decimal_shift", "date_format_vary", "date_partial", "ghost_value", "conflicting_field", "section_erase", "key_abbrev"):
-    _noised(_tag, None)
+#: Forms whose vendors have a name of several words, which a line can be split at.
+_WORDY = FORM + ", g AS (SELECT * REPLACE (replace(raw_text, '#', ' No ') AS raw_text) FROM f)"
+for _tag in noise_sql.STATEMENTS:
+    _noised(_tag, noise_sql.statement(_tag, FORM))
+
+
+@query(f"WITH {_WORDY}, {noise_sql.lines('g')}, {noise_sql.split_line()}")
+def noise_split_words(spark, sf_dir):
+    rows = form(orders_gt(spark, sf_dir)).withColumn("raw_text", F.replace("raw_text", F.lit("#"), F.lit(" No ")))
+    return rows.select("id", noise.apply("split_line", F.col("raw_text"), F.col("id")).alias("text"))
 
 
 # Normalization.

@@ -159,3 +159,11 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     scoring.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize(
+    ("number", "results"),
+    [("1.123456789", {"11.234567890", "0.112345679"}), ("123456789012345678901234567.50", {"1234567890123456789012345675.00", "12345678901234567890123456.75"}), ("0.5", {"5.0", "0.1"}), ("99.99", {"999.90", "10.00"}), ("007.0", {"70.0", "0.7"})],
+)
+def test_points_move_in_numbers_of_any_length(spark, number, results):
+    assert set(noised(spark, "num_decimal_shift", f"Total: {number}")) == {f"Total: {r}" for r in results}
