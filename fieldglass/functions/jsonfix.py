@@ -119,12 +119,50 @@ def coerce(c: Column) -> Column:
     return F.struct(F.coalesce(native, rest["json"]).alias("json"), F.when(blank, "failure").when(native.isNotNull(), "success").otherwise(rest["status"]).alias("status"))
 
 
-def leaves(c: Column, depth: int = 4) -> Column:
+class _Number(str):
+    """A number as it is written."""
+
+
+def _shown(value) -> str:
+    """JSON text of a value, numbers as they were written."""
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, list):
+        return f"[{','.join(map(_shown, value))}]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_shown(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def flat(text: str, prefix: str = "") -> list[tuple[str, str | None]]:
+    """(path, value) of the leaves of a JSON object of any depth, values as text; the last of equal names stays."""
+    stack, out = [(prefix, json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number))], []
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend((f"{path}.{k}" if path else k, v) for k, v in reversed(value.items()))
+        else:
+            out.append((path, value if value is None or isinstance(value, str) else _shown(value)))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
+def _flat(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else [{"path": p, "value": v} for p, v in flat(t)] for t in text])
+
+
+#: Levels of objects that are taken apart natively; answers with deeper ones go to Arrow.
+NATIVE_LEVELS = 4
+
+
+def leaves(c: Column) -> Column:
     """array<struct<path, value>> of a JSON object's leaves, paths dotted; lists stay leaf values, empty objects give nothing.
 
-    A JSON null is a leaf with a null value; deeper objects than `depth` stay JSON text.
+    A JSON null is a leaf with a null value. Objects may be of any depth; the rare ones deeper than NATIVE_LEVELS are taken
+    apart in Arrow batches, to which all others pass null.
     """
     parsed = lambda text: F.from_json(text, "map<string,string>")
+    nested = lambda value: F.coalesce(value.startswith("{") & is_object(value), F.lit(False))
 
     def level(text: Column, prefix: Column, left: int) -> Column:
         entries = F.map_entries(parsed(text))
@@ -135,9 +173,13 @@ def leaves(c: Column, depth: int = 4) -> Column:
             if not left:
                 return leaf
             inner = level(e["value"], F.concat(path, F.lit(".")), left - 1)
-            nested = e["value"].startswith("{") & F.coalesce(is_object(e["value"]), F.lit(False))
-            return F.when(F.coalesce(nested, F.lit(False)), inner).otherwise(leaf)
+            return F.when(nested(e["value"]), inner).otherwise(leaf)
 
         return F.flatten(F.transform(entries, one))
 
-    return level(c, F.lit(""), depth - 1)
+    # without its strings, an object of so many levels is gone after as many removals of innermost objects
+    bare = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"', "")
+    for _ in range(NATIVE_LEVELS):
+        bare = F.regexp_replace(bare, r"\{[^{}]*\}", "")
+    deep = F.when(F.regexp_count(c, F.lit("[{]")) > NATIVE_LEVELS, F.contains(bare, F.lit("{")))
+    return F.coalesce(_flat(F.when(deep, c)), level(c, F.lit(""), NATIVE_LEVELS - 1))

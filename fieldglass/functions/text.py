@@ -62,6 +62,11 @@ def number_text(c: Column) -> Column:
     return F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), plain).when((F.abs(c) < 1e-3) & (F.abs(c) >= 1e-4), plain).otherwise(c.cast("string"))
 
 
+def four(c: Column) -> Column:
+    """Four decimals. Nine come first: sums of doubles in another order differ in the last places, which mustn't decide a half."""
+    return F.round(F.round(c, 9), 4)
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 

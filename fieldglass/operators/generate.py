@@ -99,18 +99,27 @@ def task(difficulty: Column, *key) -> Column:
 
 
 def split(rows: DataFrame, group: list[str], key: Column, shares: dict[str, float] | None = None) -> DataFrame:
-    """Adds `split`: each group's rows in the order of a hash, cut at the whole parts of the cumulated shares."""
+    """Adds `split`: each group's rows in the order of a hash, cut at the whole parts of the cumulated shares.
+
+    A row's place is the count of its group's rows in lower hash ranges plus its place in its own range, so no task sorts a
+    whole group; the counts are 4096 a group at most.
+    """
     from pyspark.sql import Window
 
     shares = shares or SPLITS
-    w = Window.partitionBy(*group)
-    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(F.md5(key.cast("string")), key)))
+    rows = rows.withColumn("_hash", F.md5(key.cast("string"))).withColumn("_range", F.substring("_hash", 1, 3))
+    ranges = rows.groupBy(*group, "_range").agg(F.count("*").alias("_in"))
+    every = Window.partitionBy(*group)
+    ranges = ranges.withColumn("_n", F.sum("_in").over(every)).withColumn("_before", F.sum("_in").over(every.orderBy("_range")) - F.col("_in")).drop("_in")
+    rows, ranges = rows.alias("r"), F.broadcast(ranges).alias("c")
+    rows = rows.join(ranges, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*group, "_range")]).select("r.*", "_n", "_before")
+    rows = rows.withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_range").orderBy("_hash", key)))
     at, out = 0.0, None
     for name, share in list(shares.items())[:-1]:
         at += share
         cond = F.col("_at") <= F.floor(F.col("_n") * F.lit(round(at, 9)))
         out = F.when(cond, name) if out is None else out.when(cond, name)
-    return rows.withColumn("split", out.otherwise(list(shares)[-1])).drop("_n", "_at")
+    return rows.withColumn("split", out.otherwise(list(shares)[-1])).drop("_n", "_at", "_hash", "_range", "_before")
 
 
 def dataset(spark: SparkSession, per_cell: int = 100, seed: int = 42, track: str = "synthetic") -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .domains import DOMAINS, fields, label_table
 
-# Names of kinds as they are shown, and the model list.
+# Names of kinds as they are shown, the model list, and the words of a rate limit.
 SHOWN = {"date": "date (YYYY-MM-DD)", "time": "time (HH:MM)", "currency": "string (ISO-4217)", "frequency": "string"}
 BASELINES = {"R00": "always_null", "R01": "regex_rules"}
 MODELS = {"R02": ("llama-3.1-8b-instruct", "ollama"), "R03": ("gpt-4o-2024-08-06", "openai"), "R04": ("claude-3-5-sonnet-20241022", "anthropic"), "R06": ("llama3.2", "ollama"), "R07": ("phi3.5", "ollama"), "R08": ("mistral", "ollama"), "R09": ("qwen2.5:7b", "ollama"), "R10": ("llama-3.3-70b-versatile", "openai")}
+LIMITS = ["rate limit", "429", "too many requests", "quota", "tokens per day", "tokens per minute"]
 DEFAULTS = {"temperature": 0, "max_tokens": 1024, "max_retries": 3, "backoff_base_seconds": 2}
 LABEL_LINE = r"^\s*([A-Za-z][\w\s./()'-]*?)\s*[:=|]\s*(.+?)\s*$"
 TASK_TEXT = {
@@ -171,14 +172,49 @@ def pending(samples: DataFrame, done: DataFrame) -> DataFrame:
     return samples.join(done.select("id").distinct(), "id", "left_anti")
 
 
-def run(spark: SparkSession, samples: DataFrame, run_id: str, out_dir: str, dry_run: bool = False, resume: bool = False) -> DataFrame:
-    """Predicts what `out_dir` doesn't hold yet (if resumed), appends it there, and returns all of its predictions."""
+def chosen(samples: DataFrame, n: int | None = None, seed: int = 42, **equal: str | None) -> DataFrame:
+    """The samples of a split, domain, difficulty or task (as far as given), and of these n by the order of a hash."""
+    from ..sources.records import sample_n
+
+    for name, value in equal.items():
+        if value is not None:
+            samples = samples.where(F.col(name) == value)
+    return sample_n(samples, n, seed) if n is not None else samples
+
+
+def limited(error: Column) -> Column:
+    """Whether a call failed because the service has had enough for now."""
+    out = F.lit(False)
+    for words in LIMITS:
+        out = out | F.contains(F.lower(F.coalesce(error, F.lit(""))), F.lit(words))
+    return out
+
+
+def run(spark: SparkSession, samples: DataFrame, run_id: str, out_dir: str, dry_run: bool = False, resume: bool = False, make_backend: Callable[[], Callable[[str], str]] | None = None, **filters) -> DataFrame:
+    """Predicts what `out_dir` doesn't hold yet (if resumed), appends it there, and returns all of its predictions.
+
+    filters: split, domain, difficulty, task and n, as in chosen(). Runs that aren't a baseline need `make_backend`, the client
+    of their model; a call that a rate limit ended isn't saved, so that a resumed run asks again. With dry_run fixed answers
+    stand for all calls. The prompt's hash is kept with every answer.
+    """
     from ..sources.records import append_predictions, completed, write_run_config
 
     settings = model_settings(run_id)
+    samples = chosen(samples, **filters)
     if resume:
         samples = pending(samples, completed(spark, out_dir))
-    write_run_config(out_dir, {"run_id": run_id, **settings, "dry_run": dry_run})
-    got = (mock if dry_run else predictor(settings["name"]))(samples)
-    got = got.withColumn("prompt_hash", F.substring(F.sha2("ocr_text", 256), 1, 8)).withColumn("model", F.lit(settings["name"])).withColumn("backend", F.lit(settings["backend"])).withColumn("success", F.lit(True))
+    write_run_config(spark, out_dir, {"run_id": run_id, "model": settings["name"], **settings, "filters": filters, "dry_run": dry_run})
+    if "task" not in samples.columns:
+        samples = samples.withColumn("task", F.lit("extraction"))
+    if dry_run or settings["backend"] == "hardcoded":
+        got = prompts((mock if dry_run else predictor(settings["name"]))(samples)).drop("prompt")
+        backend = "dry_run" if dry_run else settings["backend"]
+        got = got.withColumns({"model": F.lit(settings["name"]), "backend": F.lit(backend), "latency_ms": F.lit(0), "success": F.lit(True), "error": F.lit(None).cast("string")})
+    elif make_backend is None:
+        raise ValueError(f"run {run_id!r} needs a client for {settings['backend']}")
+    else:
+        from ..plans.run import cut
+
+        asked = cut(predict(samples, make_backend, settings["name"], settings["backend"], settings["max_retries"], settings["backoff_base_seconds"]))
+        got = samples.join(asked.where(F.col("success") | ~limited(F.col("error"))), "id")
     return append_predictions(got, out_dir)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonfix, normalize
 from ..functions.similarity import in_text, ned, same
-from ..functions.text import let, strip
+from ..functions.text import four, let, strip
 from .domains import CASE_PATHS, DOMAINS, NUMERIC_TOLERANCE, field_table, fields
 
 METRICS = ["field_precision", "field_recall", "field_f1", "required_f1", "optional_f1", "exact_match_rate", "mean_ned", "numeric_tolerance_rate", "mean_correction_gain", "hallucination_rate", "schema_valid", "parse_success"]
@@ -39,20 +39,32 @@ def parsed(predictions: DataFrame) -> DataFrame:
     return out.withColumn("answer", F.coalesce(F.col("_parsed.json"), F.lit("{}"))).withColumn("parse_status", F.col("_parsed.status")).drop("_parsed")
 
 
-def label_patterns(labels: tuple[str, ...]) -> list[str]:
-    """Patterns of a field's value in a text, longest label first: at the start of a line, before a colon, dash or slash."""
-    return [rf"(?im)(?:^|\n)[ \t]*{re.escape(x)}\b[ \t]*[:\-–/][ \t]*(.+?)[ \t]*(?:\n|$)" for x in sorted(labels, key=len, reverse=True)]
+def label_pattern(domain: str) -> str:
+    """A labelled line of a domain: label, colon, dash or slash, value; labels stand longest first."""
+    labels = sorted({x for f in fields(domain) for x in f.labels}, key=lambda x: (-len(x), x))
+    return rf"(?im)(?:^|\n)[ \t]*({'|'.join(map(re.escape, labels))})\b[ \t]*[:\-–/][ \t]*(.+?)[ \t]*(?:\n|$)"
 
 
-def pattern_table(predictions: DataFrame) -> DataFrame:
-    """(domain, path, patterns): 43 rows."""
-    rows = [(f.domain, f.path, label_patterns(f.labels)) for f in fields()]
-    return predictions.sparkSession.createDataFrame(rows, "domain string, path string, patterns array<string>")
+def labelled_lines(text: Column, domain: Column) -> Column:
+    """array<struct<label, value>> of a text's labelled lines in order, labels in lower case; one literal pattern a domain."""
 
+    def of(d: str) -> Column:
+        at = lambda k: F.regexp_extract_all(text, F.lit(label_pattern(d)), F.lit(k))
+        return F.zip_with(at(1), at(2), lambda x, y: F.named_struct(F.lit("label"), F.lower(x), F.lit("value"), strip(y)))
 
-def text_value(text: Column, patterns: Column) -> Column:
-    """The first value that isn't blank, by the order of patterns; null if there is none."""
-    return F.get(F.filter(F.transform(patterns, lambda p: strip(F.call_function("regexp_extract", text, p, F.lit(1)))), lambda v: v != ""), F.lit(0))
+    return _by_domain(domain, of)
+
+
+def label_table(predictions: DataFrame) -> DataFrame:
+    """(domain, path, labels): 43 rows; labels in lower case, longest first."""
+    rows = [(f.domain, f.path, [x.lower() for x in sorted(f.labels, key=len, reverse=True)]) for f in fields()]
+    return predictions.sparkSession.createDataFrame(rows, "domain string, path string, labels array<string>")
+
+
+def text_value(lines: Column, labels: Column) -> Column:
+    """The first value that isn't blank, by the order of labels, each label's first line; null if there is none."""
+    first = lambda label: F.get(F.filter(lines, lambda x: x["label"] == label), F.lit(0))["value"]
+    return F.get(F.filter(F.transform(labels, first), lambda v: v != ""), F.lit(0))
 
 
 def field_scores(m: DataFrame) -> DataFrame:
@@ -65,10 +77,10 @@ def field_scores(m: DataFrame) -> DataFrame:
     spark = m.sparkSession
     kinds = F.broadcast(field_table(spark).select("domain", "path", "kind", "required"))
     kind = F.coalesce("kind", F.lit("string"))
-    due = m.select("id", "domain", "ocr_text", F.explode(F.map_entries("gt")).alias("e")).select("id", "domain", "ocr_text", F.col("e.key").alias("path"), F.col("e.value").alias("raw"))
-    due = due.join(kinds, ["domain", "path"], "left").join(F.broadcast(pattern_table(m)), ["domain", "path"], "left").withColumn("value", normalize.value(F.col("raw"), kind)).where("value IS NOT NULL")
-    due = due.select("id", "domain", "path", F.lit(0).alias("place"), F.lit(True).alias("truth"), "value", text_value(F.col("ocr_text"), F.col("patterns")).alias("said"), F.lit(None).cast("boolean").alias("held"))
-    got = m.select("id", "domain", "ocr_text", F.posexplode(jsonfix.leaves(F.col("answer"))).alias("place", "e")).select("id", "domain", "ocr_text", "place", F.col("e.path").alias("path"), F.col("e.value").alias("raw"))
+    due = m.select("id", "domain", labelled_lines(F.col("ocr_text"), F.col("domain")).alias("lines"), F.explode(F.map_entries("gt")).alias("e")).select("id", "domain", "lines", F.col("e.key").alias("path"), F.col("e.value").alias("raw"))
+    due = due.join(kinds, ["domain", "path"], "left").join(F.broadcast(label_table(m)), ["domain", "path"], "left").withColumn("value", normalize.value(F.col("raw"), kind)).where("value IS NOT NULL")
+    due = due.select("id", "domain", "path", F.lit(0).alias("place"), F.lit(True).alias("truth"), "value", text_value(F.col("lines"), F.col("labels")).alias("said"), F.lit(None).cast("boolean").alias("held"))
+    got = m.select("id", "domain", "ocr_text", jsonfix.leaves(F.col("answer")).alias("leaves")).select("id", "domain", "ocr_text", F.posexplode("leaves").alias("place", "e")).select("id", "domain", "ocr_text", "place", F.col("e.path").alias("path"), F.col("e.value").alias("raw"))
     got = got.join(kinds, ["domain", "path"], "left").withColumn("value", normalize.value(F.col("raw"), kind))
     got = got.select("id", "domain", "path", "place", F.lit(False).alias("truth"), "value", F.lit(None).cast("string").alias("said"), in_text(F.col("value"), F.col("ocr_text")).alias("held"))
     answer = F.max_by(F.struct("value", "held"), F.when(~F.col("truth"), F.col("place")))
@@ -102,7 +114,7 @@ def record_scores(scores: DataFrame) -> DataFrame:
         F.min("gain").alias("min_correction_gain"), F.max("gain").alias("max_correction_gain"), n(F.col("gain") > 0).alias("n_improved"), n(F.col("gain") < 0).alias("n_regressed"),
         n(F.col("pred_value").isNotNull()).alias("n_predicted"), n("hallucinated").alias("n_hallucinated"), F.sort_array(F.collect_list(F.when(F.col("hallucinated"), F.col("path")))).alias("hallucinated_fields"),
     )
-    c, four = F.col, lambda x: F.round(x, 4)
+    c = F.col
     precision, recall = ratio(c("n_matched_fields"), c("n_pred_fields")), ratio(c("n_matched_fields"), c("n_gt_fields"))
     optional = F.when(c("_go") == 0, F.lit(1.0)).otherwise(ratio(c("_bo"), c("_go")))
     made = {
@@ -161,10 +173,19 @@ def failure_modes(m: DataFrame) -> DataFrame:
 def evaluate(predictions: DataFrame) -> DataFrame:
     """All scores of predictions (id, domain, difficulty, model_output, ocr_text, gt): one row per id with the METRICS, counts,
     the schema check and the failure modes. Records without any field score 0."""
-    m = parsed(predictions)
+    from ..plans.run import cut
+
+    # truth, answer and schema check each read the parsed answers: they are parsed once
+    m = cut(parsed(predictions.select("id", "domain", "difficulty", "model_output", "ocr_text", "gt")))
     checked = m.select("id", "domain", "difficulty", "parse_status", schema_check(F.col("answer"), F.col("domain"), F.col("parse_status")).alias("schema"))
     out = checked.join(record_scores(field_scores(m)), "id", "left")
     zero = {k: 0.0 for k in ("field_precision", "field_recall", "field_f1", "required_f1", "optional_f1", "exact_match_rate", "mean_ned", "hallucination_rate")}
     out = out.fillna(zero | {"n_hallucinated": 0, "n_predicted": 0})
     out = out.withColumn("schema_valid", F.col("schema.schema_valid").cast("double")).withColumn("parse_success", (F.col("parse_status") != "failure").cast("double"))
     return failure_modes(out)
+
+
+def field_maps(scores: DataFrame) -> DataFrame:
+    """(id, per_field): the scores of a record's fields as a map of path to exact, ned, within, gain and hallucinated."""
+    value = F.struct("gt_value", "pred_present", "pred_value", "is_required", "exact", "ned", "within", "gain", "hallucinated")
+    return scores.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("path").alias("key"), value.alias("value"))))).alias("per_field"))

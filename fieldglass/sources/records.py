@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +21,72 @@ def _checked(name: str, value: str | None, allowed) -> None:
         raise ValueError(f"{name} {value!r} isn't one of {', '.join(allowed)}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file(spark, path)
+    return fs.exists(where)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file on whatever storage the path names."""
+    fs, where = _file(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read on the driver."""
+    fs, where = _file(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode()
+    finally:
+        stream.close()
+
+
+#: Where the samples of a track lie below the data folder.
+TRACK_FOLDERS = {"synthetic": "", "real_ocr": "vision"}
+
+
+def track_folder(path: str, track: str) -> str:
+    _checked("track", track, TRACKS)
+    return f"{path.rstrip('/')}/{TRACK_FOLDERS[track]}".rstrip("/")
+
+
+def discover(spark: SparkSession, path: str, domain: str | None = None, difficulty: str | None = None, split: str | None = None, track: str = "synthetic") -> list[str]:
+    """The files {domain}_{difficulty}_{split}.jsonl of a data folder, sorted: in a folder by domain, or else beside one another.
+
+    Unknown names raise an error, as does a missing folder; names that aren't given stand for all.
+    """
+    for name, value, allowed in (("domain", domain, DOMAINS), ("difficulty", difficulty, DIFFICULTIES), ("split", split, SPLITS)):
+        _checked(name, value, list(allowed))
+    base = track_folder(path, track)
+    if not _exists(spark, base):
+        raise FileNotFoundError(base)
+    name = f"{domain or '*'}_{difficulty or '*'}_{split or '*'}.jsonl"
+    for pattern in (f"{base}/{domain or '*'}/{name}", f"{base}/{name}"):
+        fs, where = _file(spark, pattern)
+        if found := sorted(str(f.getPath()) for f in fs.globStatus(where) or []):
+            return found
+    return []
+
+
+def read_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Samples of JSON-lines files; a damaged line raises an error, blank ones are skipped. No files give no rows."""
+    if not files:
+        return spark.createDataFrame([], SAMPLE)
+    return spark.read.schema(SAMPLE).option("mode", "FAILFAST").json(files)
 
 
 def write_samples(samples: DataFrame, path: str, format: str = "json") -> None:
@@ -85,24 +147,31 @@ def completed(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "id string")
 
 
-def write_run_config(path: str, settings: dict) -> None:
-    os.makedirs(path, exist_ok=True)
-    with open(f"{path}/run_config.json", "w") as f:
-        json.dump(settings, f, indent=2, default=str)
+def write_run_config(spark: SparkSession, path: str, settings: dict) -> None:
+    write_text(spark, f"{path}/run_config.json", json.dumps(settings, indent=2, default=str))
+
+
+def read_run_config(spark: SparkSession, path: str) -> dict:
+    """A run's settings; none if it has none."""
+    return json.loads(read_text(spark, f"{path}/run_config.json")) if _exists(spark, f"{path}/run_config.json") else {}
+
+
+def write_evaluated(spark: SparkSession, found: DataFrame, path: str) -> DataFrame:
+    """A run's evaluated predictions as JSON lines beside its predictions, read back."""
+    found.write.mode("overwrite").json(f"{path}/evaluated_predictions.jsonl")
+    return spark.read.schema(found.schema).json(f"{path}/evaluated_predictions.jsonl")
 
 
 def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     """The summaries below a pattern such as runs/*/summary.json; unreadable ones are left out."""
-    schema = "run_id string, model string, n long, metrics map<string,double>, _corrupt_record string"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    schema = "model string, backend string, split string, n_records long, timestamp_utc string, metrics map<string,double>, failure_modes map<string,long>, _corrupt_record string"
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern).withColumn("run_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return found.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def snapshot(run_dir: str, to: str, names: tuple[str, ...] = ("run_config.json", "summary.json", "report.html")) -> list[str]:
+def snapshot(spark: SparkSession, run_dir: str, to: str, names: tuple[str, ...] = ("run_config.json", "summary.json", "report.html")) -> list[str]:
     """Copies a run's small artefacts and returns those that were there."""
-    import shutil
-
-    os.makedirs(to, exist_ok=True)
-    there = [n for n in names if os.path.exists(f"{run_dir}/{n}")]
+    there = [n for n in names if _exists(spark, f"{run_dir}/{n}")]
     for n in there:
-        shutil.copyfile(f"{run_dir}/{n}", f"{to}/{n}")
+        write_text(spark, f"{to}/{n}", read_text(spark, f"{run_dir}/{n}"))
     return there

@@ -167,3 +167,83 @@ def test_streams(spark, tmp_path):
 )
 def test_points_move_in_numbers_of_any_length(spark, number, results):
     assert set(noised(spark, "num_decimal_shift", f"Total: {number}")) == {f"Total: {r}" for r in results}
+
+
+def test_settings_with_faults_are_found(spark, tmp_path):
+    broken = domains.Settings(required={"receipts": ["colour"]}, splits={"train": 1.5}, rates={})
+    assert domains.run_checks() == 0 and domains.run_checks(broken) == 1
+    assert {name for name, ok, _ in domains.found_faults(broken) if not ok} == {"required_fields", "splits", "noise_rates"}
+    (tmp_path / "s.json").write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        domains.load_settings(spark, str(tmp_path / "s.json"))
+
+
+def test_files_are_found_by_name(spark, tmp_path):
+    for folder, name in (("receipts", "receipts_easy_dev"), ("receipts", "receipts_hard_dev"), ("hospital", "hospital_easy_test")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.jsonl").write_text('{"id": "1"}\n\n{"id": "2"}\n')
+    names = lambda found: [f.rsplit("/", 1)[1] for f in found]
+    assert names(records.discover(spark, str(tmp_path), split="dev")) == ["receipts_easy_dev.jsonl", "receipts_hard_dev.jsonl"]
+    assert names(records.discover(spark, str(tmp_path), domain="hospital")) == ["hospital_easy_test.jsonl"] and records.discover(spark, str(tmp_path), domain="insurance") == []
+    assert records.read_lines(spark, records.discover(spark, str(tmp_path), difficulty="hard")).count() == 2 and records.read_lines(spark, []).count() == 0
+    (tmp_path / "vision").mkdir()
+    (tmp_path / "vision" / "receipts_easy_dev.jsonl").write_text('{"id": "3"}\n')  # without folders by domain
+    assert names(records.discover(spark, str(tmp_path), track="real_ocr")) == ["receipts_easy_dev.jsonl"]
+    for bad in ({"domain": "x"}, {"track": "x"}):
+        with pytest.raises(ValueError):
+            records.discover(spark, str(tmp_path), **bad)
+    with pytest.raises(FileNotFoundError):
+        records.discover(spark, str(tmp_path / "none"))
+
+
+def test_last_record_of_an_id_counts(spark):
+    rows = spark.createDataFrame([("1", 1, 0.5), ("1", 2, 0.25), ("2", 1, None)], "id string, place int, m double")
+    got = {r["id"]: (r["a"], r["b"]) for r in stats.paired(rows, rows, ["m"], order_col="place").collect()}
+    assert got == {"1": (0.25, 0.25)}
+    assert {r["id"]: r["a"] for r in stats.paired(rows, rows, ["m"]).collect()} == {"1": 0.5}
+
+
+def test_large_groups_draw_by_joins(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else None, float(i * i % 17)) for i in range(40)], "id int, g string, v double")
+    small, large = (sorted(map(tuple, stats.bootstrap(rows.where("g IS NOT NULL"), "v", ["g"], resamples=50, most=most).collect())) for most in (100, 5))
+    assert small == large
+    assert stats.bootstrap(rows, "v", [], resamples=20).count() == 1 and stats.bootstrap(rows, "v", ["g"], resamples=20).count() == 2
+
+
+def test_runs_need_a_client_and_leave_out_limits(spark, tmp_path):
+    rows = generate.records(spark, "receipts", 4).withColumns({"difficulty": F.lit("easy"), "task": F.lit("schema"), "ocr_text": F.col("id")})
+    with pytest.raises(ValueError):
+        predict.run(spark, rows, "R06", str(tmp_path / "a"))
+
+    def client():
+        def ask(prompt):
+            if prompt.endswith("2"):
+                raise RuntimeError("quota used up")
+            return "{}"
+
+        return ask
+
+    assert {r["id"][-1] for r in predict.run(spark, rows, "R06", str(tmp_path / "a"), make_backend=client).collect()} == {"0", "1", "3"}
+    again = predict.run(spark, rows, "R06", str(tmp_path / "a"), resume=True, make_backend=lambda: lambda p: "again")
+    assert {r["id"][-1]: r["model_output"] for r in again.collect()} == {"0": "{}", "1": "{}", "2": "again", "3": "{}"}
+    assert records.read_run_config(spark, str(tmp_path / "a"))["model"] == "llama3.2"
+
+
+def test_report_of_a_run(spark, tmp_path):
+    rows = generate.records(spark, "receipts", 6).withColumn("difficulty", F.when(F.col("row") < 3, "easy").otherwise("hard"))
+    rows = rows.withColumn("ocr_text", serialize.serialize(F.col("gt"), "receipts", F.col("id")))
+    found = score.evaluate(predict.regex_rules(rows))
+    compared = stats.compare(found, score.evaluate(predict.always_null(rows)), ["field_f1"], resamples=30)
+    page = report.report(spark, found, str(tmp_path), {"model": "m<1>", "filters": {"split": "dev"}}, compared, resamples=30)
+    assert (tmp_path / "report.html").read_text() == page and "m&lt;1&gt;, dev" in page
+    for part in ("Scores", "Failure modes", "Domain by difficulty", "svg_comparison", "Comparison", "rec_000005"):
+        assert part in page
+    assert set(report.write_summary(spark, found, str(tmp_path), {"model": "m"})["metrics"]) == set(report.SUMMARY)
+
+
+def test_groups_by_task(spark):
+    rows = spark.createDataFrame([("a", "x", "t", 1.0), ("a", "x", None, 3.0)], "domain string, difficulty string, task string, m double")
+    assert {(r["group"], r["mean"]) for r in stats.summarize_by(rows, ["m"], ["task", "domain_x_difficulty"]).collect()} == {("t | a__x", 1.0), ("unknown | a__x", 3.0)}
+    assert stats.summarize_by(rows, ["m"], ["overall"]).head()["n"] == 2
+    with pytest.raises(ValueError):
+        stats.group_key(["city"])
