@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -395,3 +396,39 @@ def test_strong_terms_lose_no_match():
         for line in lines:
             assert index.line(licences.terms(line)) == every.line(licences.terms(line))
     assert index.line(licences.terms("the of is to this")) is None and every.line(licences.terms("the of is to this")) is None
+
+
+def test_licence_stretches_against_brute_force():
+    rng = random.Random(11)
+    df = {t: rng.randint(0, 300) for t in licences.vocabulary()}
+    index = licences.Index(df, 400)
+    words_of = [licences.terms(text) for _, texts in sorted(licences.TEMPLATES.items()) for text in texts]
+    filler = ["alpha", "beta", "the", "of", "license", "software", "version", "public"]
+    for turn in range(6):
+        words = [rng.choice(filler) for _ in range(rng.randint(5, 60))]
+        for _ in range(2):
+            part = list(rng.choice(words_of))[: rng.randint(6, 60)]
+            part[rng.randrange(len(part))] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        due = set()
+        for k, own in enumerate(words_of):
+            size, best = min(len(own), len(words)), None
+            for start in range(len(words) - size + 1):
+                counts = Counter(words[start : start + size])
+                norm = math.sqrt(sum((c * index.idf.get(t, index.unknown)) ** 2 for t, c in counts.items()))
+                cosine = sum(c * index.idf.get(t, 0) * index.vectors[k].get(t, 0) for t, c in counts.items()) / norm
+                best = max(best or 0, round(cosine, 6))
+            if best >= licences.THRESHOLD:
+                due.add((index.names[k], best))
+        got = {(name, cosine) for cosine, name, _, _ in index.stretches(words)}
+        assert {n for n, _ in got} == {n for n, _ in due} and all(any(n == m and abs(a - b) < 2e-6 for m, b in got) for n, a in due)
+
+
+def test_licences_across_lines_and_whole_texts(spark):
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    long_line = "Here is my project. " + "It does many things well. " * 3 + "This work is licensed under the GNU General Public License, version 3. " + "Enjoy it as you like and tell others. " * 3
+    rows = [(1, "a/x", wrap(licences.TEXTS["MIT"], 9)), (2, "b/x", "Copyright 2020 Some Body\n\n" + wrap(licences.TEXTS["BSD-3-Clause"], 11)), (3, "c/x", long_line), (4, "d/x", "This work is licensed under\nthe GNU General Public\nLicense, version 3."), (5, "e/x", "word " * 30_000), (5, "e/x", "word " * 30_000), (6, "f/x", wrap(licences.TEXTS["Zlib"], 7))]
+    table = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, path string, text string, licence string, score double")
+    got = {r["doc_id"]: r for r in licences.licences(table).collect()}
+    assert {i: r["licence"] for i, r in got.items()} == {1: "MIT", 2: "BSD-3-Clause", 3: "GPL-3.0", 4: "GPL-3.0", 5: None, 6: "Zlib"}
