@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ NEAR, NEAR_CONSISTENCY = 11.143, 1.0645
 CUTOFF = 28.473
 #: Rows that a language and source need for estimates of their own; smaller ones share their language's, then one of all.
 LEAST = 50
+#: Rows of the narrow table of vectors in a partition: it is scanned some dozens of times, so it isn't left in as many pieces as the texts.
+PART_ROWS = 100_000
 #: Concentration ends once no group's log determinant falls by more than SETTLED; bins of distance can make it swing, so steps are bounded.
 SETTLED, MOST_STEPS = 1e-3, 30
 
@@ -177,7 +181,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     stats = stored(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
     counted = ["id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = stored(grouped(stats.where("not base_failed")).select("g", *VECTOR, *counted), "vectors")
+    good = grouped(stats.where("not base_failed")).select("g", *VECTOR, *counted)
+    good = stored(good.coalesce(max(1, math.ceil(stats.count() / PART_ROWS))), "vectors")
     verdict = outliers(good).select(*counted, "d2", F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"))
     failed = stats.where("base_failed").select(*counted, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return verdict.unionByName(failed).withColumnRenamed("id", id_col)
