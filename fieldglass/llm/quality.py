@@ -24,7 +24,8 @@ CUTOFF = 28.473
 LEAST = 50
 #: Rows of the narrow table of vectors in a partition: it is scanned some dozens of times, so it isn't left in as many pieces as the texts.
 PART_ROWS = 100_000
-#: Concentration ends once no group's log determinant falls by more than SETTLED; bins of distance can make it swing, so steps are bounded.
+#: Concentration ends once a step lowers no group's least log determinant so far by more than SETTLED. Distances are cut at bins, so
+#: a determinant may swing after that; the least one counts.
 SETTLED, MOST_STEPS = 1e-3, 30
 
 
@@ -159,14 +160,17 @@ def outliers(rows: DataFrame) -> DataFrame:
     ]
     first = centred.join(sized(spread), "g").select("g", *names, F.posexplode(F.array(*starts)).alias("s", "d2"))
     narrow = rows.select("g", *names)
-    got = stored(_estimates(_nearest(first), ["g", "s"], CONSISTENCY), "estimates-0")
+    fields = lambda df: [c for c in df.columns if c not in ("g", "s", "det")]
+    got = least = stored(_estimates(_nearest(first), ["g", "s"], CONSISTENCY), "estimates-0")
     for step in range(1, MOST_STEPS + 1):
-        was = got.select("g", "s", F.col("det").alias("was"))
         got = stored(_estimates(_nearest(_with_distance(narrow, got)), ["g", "s"], CONSISTENCY), f"estimates-{step}")
-        fallen = got.join(sized(was), ["g", "s"]).agg(F.max(F.col("was") - F.col("det"))).head()[0]
+        before = least
+        least = before.unionByName(got).groupBy("g", "s").agg(F.min(F.struct("det", *fields(got))).alias("e"))
+        least = stored(least.select("g", "s", "e.*").select(*got.columns), f"least-{step}")
+        fallen = least.join(sized(before.select("g", "s", F.col("det").alias("was"))), ["g", "s"]).agg(F.max(F.col("was") - F.col("det"))).head()[0]
         if fallen is None or fallen <= SETTLED:
             break
-    best = got.groupBy("g").agg(F.min(F.struct("det", *[c for c in got.columns if c not in ("g", "det", "s")])).alias("e")).select("g", "e.*")
+    best = least.groupBy("g").agg(F.min(F.struct("det", *fields(least))).alias("e")).select("g", "e.*")
     near = _with_distance(narrow, stored(best, "estimates-raw")).where(F.col("d2") <= NEAR)
     return _with_distance(rows, stored(_estimates(near, ["g"], NEAR_CONSISTENCY), "estimates"))
 
