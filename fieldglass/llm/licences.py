@@ -203,7 +203,10 @@ class Index:
 
 
 def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
-    """In how many of all files each template term occurs (a bounded list), and the number of files."""
+    """In how many of all files each template term occurs (a bounded list), and the number of files.
+
+    Null texts have no terms; repeated rows count each; without files all counts are missing and the number is 0.
+    """
     known = frozenset(vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +223,11 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """(path, id, licence, score, licence_file) for files (path, id, text)."""
+    """(path, id, licence, score, licence_file) for files (path, id, text): the licence that a file's own text names.
+
+    A null or empty text has none; a null path is that of no licence file. Repeated rows get equal results, a very long text is
+    scanned whole, no rows give no rows; other columns are not read.
+    """
     df, n = document_frequencies(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

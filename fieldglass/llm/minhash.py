@@ -242,7 +242,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """`docs` without the rows that near_dedup() drops: one document of each group stays."""
+    """`docs` without the rows that near_dedup() drops: the document with the smallest id of each group stays, columns as they are.
+
+    Rows without an id, and texts that are null or without words, stay. Rows that share an id go or stay together. No rows give
+    no rows. Other columns may have any name.
+    """
     gone = near_dedup(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("gone_id")).distinct()
     gone = stored(gone, "gone")
     return docs.join(sized(gone), docs[id_col].cast("long") == gone["gone_id"], "left_anti")

@@ -193,7 +193,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """`docs` without the rows that quality() rejects. Rejected rows are looked up by id and the text's hash."""
+    """`docs` without the rows that quality() rejects, columns as they are.
+
+    Rejected rows are looked up by id and the text's hash, so rows that repeat an id and a text go or stay together; a null id or
+    text is a value like any other. Empty texts go. No rows give no rows. Other columns may have any name.
+    """
     gone = quality(docs, id_col, text_col, lang_col, source_col).where("not kept").select(F.col(id_col).alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     gone = stored(gone, "rejected")
     same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_key"])
