@@ -432,3 +432,38 @@ def test_licences_across_lines_and_whole_texts(spark):
     table = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, path string, text string, licence string, score double")
     got = {r["doc_id"]: r for r in licences.licences(table).collect()}
     assert {i: r["licence"] for i, r in got.items()} == {1: "MIT", 2: "BSD-3-Clause", 3: "GPL-3.0", 4: "GPL-3.0", 5: None, 6: "Zlib"}
+
+
+def test_classes_against_brute_force(spark):
+    rng = random.Random(6)
+    box = "<div><h3>Sign up</h3><p>All the news</p><p>Every week</p></div>"
+    rows = []
+    for i in range(120):
+        host = f"h{i % 2}"
+        parts = ["<p>Hello there</p>"] + [f"<p>Story {i} {k}</p>" for k in range(rng.randint(1, 4))] + ([box] if i % 5 == 0 else []) + (["<p>Now and then</p>"] if i % 5 in (1, 2) else []) + ["<ul><li>a</li><li>a</li></ul>", f"<p>Bye {host}</p>"]
+        rows.append((i, f"http://{host}/{i}", f"<html><body>{''.join(parts)}</body></html>"))
+    rows += [(200, "http://h0/x", ""), (201, "http://h1/x", "<p>404</p>"), (202, "http://small/", "<p>one</p>"), (203, "http://h0/0", rows[0][2])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host long")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(table.drop("host").withColumn("template", F.lit("clash"))).collect()}
+    due = {}
+    for host in ("h0", "h1", "small"):
+        own = {h: html_extract.scan(h) for _, u, h in rows if u.startswith(f"http://{host}/")}  # copies once
+        seen = {h: Counter([html_extract._token("tag ", p) for p in structure] + [html_extract.text_token(b) for b in blocks]) for h, (structure, blocks) in own.items() if structure or blocks}
+        vectors = {}
+        for h, count in seen.items():
+            for t, n in count.items():
+                vectors.setdefault(t, []).append((h, n))
+        by_class = {}
+        for t, v in vectors.items():
+            by_class.setdefault(tuple(sorted(v)), []).append(t)
+        template = set()
+        for v, ts in by_class.items():
+            if len(seen) >= 10 and (len(v) >= 0.5 * len(seen) or len(v) >= 10 and len(ts) >= 3) and len(v) >= 5:
+                template |= set(ts)
+        if host != "small":
+            assert {b for b in ("Hello there", "a", f"Bye {host}")} <= {b.text for _, blocks in own.values() for b in blocks if html_extract.text_token(b) in template}
+        for i, u, h in rows:
+            if u.startswith(f"http://{host}/"):
+                due[i] = "\n\n".join(html_extract.choose(html_extract.scan(h)[1], template))
+    assert got == due
+    assert not any("Every week" in t for i, t in got.items()) and any("Now and then" in t for t in got.values()) and got[201] == "404" and got[202] == "one"
