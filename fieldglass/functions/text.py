@@ -31,6 +31,16 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def draw(seed: int, turn: Column, place: Column, n: Column) -> Column:
+    """A whole number from 0 to n - 1 (n up to 2^31) for a turn and a place, by integer mixing that any SQL engine repeats; some
+    hundred times cheaper than uniform(), for resampling."""
+    mask = F.lit((1 << 31) - 1).cast("long")
+    x = (turn.cast("long") * 747796405 + place.cast("long") * 277803737 + F.lit(seed * 961748941).cast("long")).bitwiseAND(mask)
+    for shift, factor in ((16, 739982445), (15, 695872825)):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * factor).bitwiseAND(mask)
+    return F.shiftright(x.bitwiseXOR(F.shiftright(x, 16)) * n.cast("long"), 31).cast("int")
+
+
 def below(n: Column | int, *parts) -> Column:
     """A whole number from 0 to n - 1."""
     return F.floor(uniform(*parts) * n).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import four, uniform
+from ..functions.text import draw, four
 
 RESAMPLES, LEVEL, SIGNIFICANCE, LEAST_PAIRS = 10_000, 0.95, 0.05, 10
 # What two runs are compared by, if nothing else is asked for.
@@ -61,15 +61,10 @@ def mode_counts(rows: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return rows.select(*(groups or []), F.explode("failure_modes").alias("mode")).groupBy(*(groups or []), "mode").count()
 
 
-def _drawn(seed: int, r: Column, draw: Column, n: Column) -> Column:
-    """The rank that a draw of a resample takes, of n."""
-    return F.floor(uniform(F.lit(seed), r, draw) * n).cast("int")
-
-
 def bootstrap(rows: DataFrame, value: str, by: list[str], id_col: str = "id", resamples: int = RESAMPLES, level: float = LEVEL, seed: int = 42, most: int = ARRAY_VALUES) -> DataFrame:
     """(by..., mean, lower, upper, n): percentile interval of the mean from resamples drawn by hash.
 
-    Resample r takes, for each of its n draws, the value whose rank in the order of ids the hash of (seed, r, draw) names.
+    Resample r takes, for each of its n draws, the value whose rank in the order of ids a hash of (seed, r, draw) names.
     Groups of up to `most` values are arrays that are broadcast; tasks hold some resamples each and draw from the array, so
     nothing but a mean a resample is shuffled. The draws of larger groups are rows of a join by rank, summed on the map side.
     No values give no row; one value is its own interval.
@@ -84,12 +79,12 @@ def bootstrap(rows: DataFrame, value: str, by: list[str], id_col: str = "id", re
     arrays = arrays.withColumn("_one", F.lit(1))
     turns = rows.sparkSession.range(resamples).select(F.col("id").cast("int").alias("_r"), F.lit(1).alias("_one")).repartition(F.col("_r"))
     picked = turns.join(F.broadcast(arrays), "_one").select(*by, "_r", "_n", "_values", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_draw"))
-    means = picked.groupBy("_r", *by).agg(F.avg(F.get("_values", _drawn(seed, F.col("_r"), F.col("_draw"), F.col("_n")))).alias("_mean"))
+    means = picked.groupBy("_r", *by).agg(F.avg(F.get("_values", draw(seed, F.col("_r"), F.col("_draw"), F.col("_n")))).alias("_mean"))
     if not many.isEmpty():
         large = known.alias("k").join(F.broadcast(many.alias("c")), [F.col(f"k.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by] or [F.lit(True)]).select(*[F.col(f"k.{c}") for c in by], "_id", "_v", "_n")
         large = large.withColumn("_rank", F.row_number().over(w.orderBy("_id")) - 1)
         draws = large.select(*by, "_n", F.col("_rank").alias("_draw")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        draws = draws.withColumn("_rank", _drawn(seed, F.col("_r"), F.col("_draw"), F.col("_n"))).drop("_n")
+        draws = draws.withColumn("_rank", draw(seed, F.col("_r"), F.col("_draw"), F.col("_n"))).drop("_n")
         means = means.unionByName(draws.join(large.select(*by, "_rank", "_v"), [*by, "_rank"]).groupBy("_r", *by).agg(F.avg("_v").alias("_mean")))
     low, high = math.floor((1 - level) / 2 * resamples), math.ceil((1 + level) / 2 * resamples) - 1
     ordered = means.groupBy(*by).agg(F.sort_array(F.collect_list("_mean")).alias("_m"))

@@ -437,7 +437,10 @@ def agg_summary(spark, sf_dir):
 
 def _bootstrap_sql(k: str, by: str, resamples: int = stats.RESAMPLES) -> str:
     """CTEs over k (by, v, r from 0, n): o has the sorted means of all resamples."""
-    return f"""d AS (SELECT {by}, n, r AS draw, x.b FROM {k}, unnest(range({resamples})) AS x(b)), e AS (SELECT {by}, b, CAST(floor({u("'42'", 'CAST(b AS VARCHAR)', 'CAST(draw AS VARCHAR)')} * n) AS BIGINT) AS r FROM d),
+    mask = (1 << 31) - 1
+    return f"""d AS (SELECT {by}, n, x.b AS b, (x.b * 747796405 + r * 277803737 + {42 * 961748941}) & {mask} AS h FROM {k}, unnest(range({resamples})) AS x(b)),
+d1 AS (SELECT {by}, n, b, (xor(h, h >> 16) * 739982445) & {mask} AS h FROM d), d2 AS (SELECT {by}, n, b, (xor(h, h >> 15) * 695872825) & {mask} AS h FROM d1),
+e AS (SELECT {by}, b, (xor(h, h >> 16) * n) >> 31 AS r FROM d2),
 m AS (SELECT e.{by}, b, avg(v) AS m FROM e JOIN {k} ON {k}.{by} = e.{by} AND {k}.r = e.r GROUP BY e.{by}, b), o AS (SELECT {by}, list_sort(list(m)) AS m FROM m GROUP BY {by})"""
 
 
