@@ -7,12 +7,15 @@ the Tesseract program; where they are missing, is_available() says so and the fu
 from __future__ import annotations
 
 import io
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 try:
     from PIL import Image, ImageDraw, ImageFont
@@ -119,17 +122,61 @@ def degrade(image: np.ndarray, difficulty: str, seed: int, **own: float) -> tupl
     return speckle(jpeg(rotate(blur(image, p["blur"]), p["rotation"]), int(p["jpeg"])), p["speckle"], seed), p
 
 
-def read_samples_by_eye(samples: DataFrame, lang: str = "eng", psm: int = 6, timeout: float = 30.0) -> DataFrame:
-    """(id, ocr_text) of samples (id, difficulty, raw_text): drawn, degraded and recognized, in partitions."""
+def png(image: np.ndarray) -> bytes:
+    """An RGB array as a PNG file."""
+    h, w, _ = image.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((h, 1), "u1"), np.ascontiguousarray(image, "u1").reshape(h, 3 * w)], 1)  # each row begins with its filter: none
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def save_image(image: np.ndarray, uri: str) -> None:
+    """A PNG file on whatever storage the URI names, folders made as needed; also from a task."""
+    fs, path = FileSystem.from_uri(uri) if "://" in uri else (LocalFileSystem(), uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(png(image))
+
+
+def recognize(image: np.ndarray, lang: str = "eng", psm: int = 6, timeout: float = 30.0) -> str:
+    if pytesseract is None:
+        raise RuntimeError("recognition needs pytesseract")
+    return pytesseract.image_to_string(Image.fromarray(image), lang=lang, config=f"--psm {psm}", timeout=timeout).strip()
+
+
+def read_samples_by_eye(samples: DataFrame, draw: Callable[[str], np.ndarray] | None = None, read: Callable[[np.ndarray], str] | None = None, image_dir: str | None = None) -> DataFrame:
+    """(id, ocr_text) of samples (id, difficulty, raw_text): drawn, degraded and recognized, in partitions.
+
+    draw and read stand for render() and recognize(); with image_dir the degraded images are kept there, by id.
+    """
+    if (draw is None or read is None) and not is_available():
+        raise RuntimeError("the optical track needs Pillow, pytesseract and Tesseract")
+    make, say = draw or render, read or recognize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             said = []
             for key, difficulty, text in zip(batch["id"], batch["difficulty"], batch["raw_text"], strict=True):
-                image, _ = degrade(render(text), difficulty, zlib.crc32(key.encode()))
-                said.append(pytesseract.image_to_string(Image.fromarray(image), lang=lang, config=f"--psm {psm}", timeout=timeout).strip())
+                image, _ = degrade(make(text), difficulty, zlib.crc32(key.encode()))
+                if image_dir:
+                    save_image(image, f"{image_dir}/{key}.png")
+                said.append(say(image))
             yield pd.DataFrame({"id": batch["id"], "ocr_text": said})
 
-    if not is_available():
-        raise RuntimeError("the optical track needs Pillow, pytesseract and Tesseract")
     return samples.select("id", "difficulty", "raw_text").mapInPandas(run, "id string, ocr_text string")
+
+
+def build_dataset(spark: SparkSession, path: str, per_cell: int = 100, seed: int = 42, draw: Callable[[str], np.ndarray] | None = None, read: Callable[[np.ndarray], str] | None = None, keep_images: bool = True) -> DataFrame:
+    """Generates the data set of the optical track below `path` and reads it back: samples in its folder, images beside it.
+
+    Texts come from drawn and degraded images instead of corruptions, so samples have no noise tags.
+    """
+    from ..plans.run import cut
+    from ..sources.records import read_samples, track_folder, write_samples
+    from .generate import dataset
+
+    samples = cut(dataset(spark, per_cell, seed, track="real_ocr").select("id", "domain", "difficulty", "track", "split", "task", "raw_text", "gt"))
+    said = read_samples_by_eye(samples, draw, read, f"{path}/vision_images" if keep_images else None)
+    out = samples.join(said, "id").withColumns({"source_type": F.lit("real_ocr"), "noise_tags": F.array().cast("array<string>"), "noise_valid": F.lit(True)})
+    write_samples(out, track_folder(path, "real_ocr"))
+    return read_samples(spark, track_folder(path, "real_ocr"), track="real_ocr")

@@ -247,3 +247,30 @@ def test_groups_by_task(spark):
     assert stats.summarize_by(rows, ["m"], ["overall"]).head()["n"] == 2
     with pytest.raises(ValueError):
         stats.group_key(["city"])
+
+
+def test_clients_ask_and_read_each_kind():
+    from fieldglass.operators import backends
+
+    answers = {
+        "/v1/chat/completions": {"choices": [{"message": {"content": "A"}}]}, "/v1/messages": {"content": [{"type": "text", "text": "A"}]},
+        "/api/generate": {"response": "A"}, "/completion": {"content": "A"},
+    }
+    asked = []
+
+    def post(url, body, headers, timeout):
+        asked.append((url, body, headers))
+        return answers[url.removeprefix("http://here")]
+
+    for run_id in ("R02", "R03", "R04"):
+        settings = predict.model_settings(run_id, max_tokens=7)
+        assert backends.client(settings, "http://here/", "key", post=post)()("hello") == "A"
+    assert backends.client({"backend": "llama_cpp", "name": "m", "temperature": 0, "max_tokens": 7}, "http://here", post=post)()("hello") == "A"
+    assert len(asked) == 4 and all("hello" in str(body) and 7 in (body.get("max_tokens"), body.get("n_predict"), body.get("options", {}).get("num_predict")) for _, body, _ in asked)
+    assert asked[1][2] == {"Authorization": "Bearer key"} and asked[0][2] == {}
+    with pytest.raises(ValueError):
+        backends.client(predict.model_settings("R03"), "http://here")
+    with pytest.raises(ValueError):
+        backends.client(predict.model_settings("R01"), "http://here")
+    with pytest.raises(ValueError):
+        predict.check_template("{SCHEMA}")

@@ -34,3 +34,33 @@ def test_easy_pages_are_nearly_clean_and_unknown_tiers_raise():
 def test_read(spark):
     rows = spark.createDataFrame([("1", "easy", "Name: Asha")], "id string, difficulty string, raw_text string")
     assert "Asha" in vision.read_samples_by_eye(rows).head()["ocr_text"]
+
+
+def test_png_files_hold_their_pixels(tmp_path):
+    import struct
+    import zlib
+
+    image = page()
+    image[0, 0] = (1, 2, 3)
+    vision.save_image(image, str(tmp_path / "a" / "x.png"))
+    data = (tmp_path / "a" / "x.png").read_bytes()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (60, 40)
+    size = struct.unpack(">I", data[33:37])[0]
+    rows = np.frombuffer(zlib.decompress(data[41 : 41 + size]), "u1").reshape(40, 181)
+    assert (rows[:, 0] == 0).all() and (rows[:, 1:].reshape(40, 60, 3) == image).all()
+
+
+def test_samples_are_read_by_other_means(spark, tmp_path):
+    def draw(text):
+        return np.full((8, 8 + len(text), 3), 255, "u1")
+
+    def read(image):
+        return f"width {image.shape[1]}"
+
+    samples = spark.createDataFrame([("a", "easy", "abc"), ("b", "easy", "")], "id string, difficulty string, raw_text string")
+    got = vision.read_samples_by_eye(samples, draw, read, str(tmp_path / "images"))
+    assert {r["id"]: r["ocr_text"] for r in got.collect()} == {"a": "width 11", "b": "width 8"}
+    assert sorted(f.name for f in (tmp_path / "images").iterdir()) == ["a.png", "b.png"]
+    if not vision.is_available():
+        with pytest.raises(RuntimeError):
+            vision.read_samples_by_eye(samples)
