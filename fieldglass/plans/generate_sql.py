@@ -95,3 +95,24 @@ def selection(table: str, domain: str) -> str:
         later.append(f"([{drawn}])[1:{count(tier)}]")
     return f"""chosen AS (SELECT id, list_transform(list_sort([{first}]), lambda s: s.t)[1:{count(0)}] AS a, {later[0]} AS b, {later[1]} AS c FROM {table}),
 picked AS (SELECT id, array_to_string(list_concat(list_concat(a, b), c), ',') AS tags FROM chosen)"""
+
+
+def texts(domain: str, n: int, seed: int = 42) -> str:
+    """(id, raw_text) of the first n records of a domain as forms: lines by the order of a hash within their section, sections in
+    the order of the schema, now and then a blank line behind a nested one."""
+    formats = ["%d/%m/%Y", "%d-%m-%Y", "%d %b %Y", "%Y-%m-%d"]
+    values, rows, sections = _values(domain), [], list(dict.fromkeys(f.section for f in domains.fields(domain)))
+    for f in domains.fields(domain):
+        key = lambda name, p=f.path: ("key", q(p), q(name))
+        shown = "v"
+        if f.kind == "number":
+            x = "CAST(v AS DOUBLE)"
+            shown = f"CASE WHEN {x} = floor({x}) THEN format('{{:,.0f}}', {x}) ELSE format('{{:,.2f}}', {x}) END"
+        elif f.kind == "date":
+            shown = f"([{', '.join(f'strftime(CAST(v AS DATE), {q(x)})' for x in formats)}])[{below('4', *key('date'))} + 1]"
+        text = f"{_pool(list(f.labels), *key('label'))} || {weighted({': ': 70, ':': 20, ' : ': 10}, *key('sep'))} || {shown}"
+        rows.append(f"SELECT id, key, {sections.index(f.section)} AS place, {q(f.section)} AS section, {u(*key('order'))} AS o, {text} AS t FROM (SELECT id, key, {values[f.path]} AS v FROM g) WHERE v IS NOT NULL")
+    blank = f"CASE WHEN section <> '' AND {u('any_value(key)', 'section', q('blank'))} < 0.3 THEN chr(10) ELSE '' END"
+    return f"""SELECT id, trim(string_agg(part, chr(10) ORDER BY place), ' ' || chr(10)) AS raw_text FROM (
+  SELECT id, place, string_agg(t, chr(10) ORDER BY o, t) || {blank} AS part FROM ({' UNION ALL '.join(rows)}) GROUP BY id, place, section)
+GROUP BY id""".replace("FROM g)", f"FROM (SELECT printf('{domains.PREFIXES[domain]}_%06d', i) AS id, '{seed}-' || CAST(i AS VARCHAR) AS k, '{seed}-' || printf('{domains.PREFIXES[domain]}_%06d', i) AS key FROM range({n}) AS x(i)))")
