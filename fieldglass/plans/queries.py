@@ -678,6 +678,71 @@ def viz_classes(spark, sf_dir):
     return spark.createDataFrame(rows, "l_returnflag string, l_linenumber long, v double, higher string, lower string, heat string")
 
 
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    """The lines of a text that the driver made, with their places."""
+    return spark.createDataFrame(list(enumerate(text.rstrip("\n").split("\n"))), "place long, line string")
+
+
+_MEANS = "m AS (SELECT l_linenumber AS k, round(avg(l_discount) * 5, 4) AS v FROM lineitem GROUP BY 1)"
+
+
+@query(f"""WITH {_MEANS} SELECT 0 AS place, 'Discounts' AS line UNION ALL SELECT row_number() OVER (ORDER BY k), 'line ' || k || ' ' || repeat('█', CAST(floor(v * 30 + 0.5) AS INT)) || repeat('░', 30 - CAST(floor(v * 30 + 0.5) AS INT)) || ' ' || printf('%.3f', v) FROM m""")
+def viz_bars(spark, sf_dir):
+    from . import report
+
+    means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.round(F.avg("l_discount") * 5, 4).alias("v")).orderBy("k").collect()
+    return _lines(spark, report.bars({f"line {r['k']}": r["v"] for r in means}, "Discounts"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, round(avg(l_discount), 4) AS v FROM lineitem GROUP BY 1, 2), r AS (SELECT DISTINCT a FROM c)
+SELECT 0 AS place, repeat(' ', 12) || lpad('F', 10, ' ') || lpad('O', 10, ' ') AS line UNION ALL
+SELECT row_number() OVER (ORDER BY a), rpad(a, 12, ' ') || coalesce((SELECT lpad(printf('%.3f', v), 10, ' ') FROM c WHERE c.a = r.a AND b = 'F'), repeat(' ', 9) || '-') || coalesce((SELECT lpad(printf('%.3f', v), 10, ' ') FROM c WHERE c.a = r.a AND b = 'O'), repeat(' ', 9) || '-') FROM r""")
+def viz_heatmap(spark, sf_dir):
+    from . import report
+
+    summary = stats.summarize(table(spark, sf_dir, "lineitem"), ["l_discount"], ("l_returnflag", "l_linestatus"))
+    grid = report.matrix(summary, "l_discount", "l_returnflag", "l_linestatus")
+    return _lines(spark, report.heatmap(dict(sorted(grid.items())), ["F", "O"]))
+
+
+@query(f"""WITH c AS ({SQL['sta_compare']}) SELECT row_number() OVER (ORDER BY metric) - 1 AS place, rpad(metric, 24, ' ') || ' ' || printf('%.4f', mean_a) || ' ' || printf('%.4f', mean_b) || ' ' || CASE WHEN mean_diff >= 0 THEN '+' ELSE '' END || printf('%.4f', mean_diff) || ' ' || winner AS line FROM c""")
+def sta_text(spark, sf_dir):
+    from . import report
+
+    return _lines(spark, report.comparison_text(stats.compare(*_runs(spark, sf_dir), ["near", "far"])))
+
+
+@query("""WITH r AS (SELECT c_mktsegment AS run, round(avg(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END), 4) AS a, round(avg(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END), 4) AS b FROM customer GROUP BY 1)
+SELECT 0 AS place, '| run | rich | solvent |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY a DESC, run), '| ' || run || ' | ' || printf('%.4f', a) || ' | ' || printf('%.4f', b) || ' |' FROM r""")
+def snk_markdown(spark, sf_dir):
+    from . import report
+
+    share = lambda c, name: F.round(F.avg(c.cast("int")), 4).alias(name)
+    runs = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("run_id")).agg(share(F.col("c_acctbal") > 5000, "rich"), share(F.col("c_acctbal") > 0, "solvent"))
+    return _lines(spark, report.leaderboard_markdown(runs, ["rich", "solvent"]))
+
+
+@query("SELECT 'R06' AS run_id, 'llama3.2' AS model, 'ollama' AS backend, 'test' AS split, 'schema' AS task, true AS dry_run, 1024 AS max_tokens")
+def snk_run_config(spark, sf_dir):
+    path = work_folder(spark)
+    predict.run(spark, order_samples(spark, sf_dir), "R06", path, dry_run=True, split="test", task="schema")
+    c = records.read_run_config(spark, path)
+    row = (c["run_id"], c["model"], c["backend"], c["filters"]["split"], c["filters"]["task"], c["dry_run"], c["max_tokens"])
+    return spark.createDataFrame([row], "run_id string, model string, backend string, split string, task string, dry_run boolean, max_tokens long")
+
+
+@query("SELECT * FROM (VALUES ('own', ''), ('no schema', 'the template lacks {SCHEMA}'), ('nothing', 'the template lacks {TASK_INSTRUCTION}, {SCHEMA}, {OCR_TEXT}')) AS t(name, fault)")
+def prm_template(spark, sf_dir):
+    rows = []
+    for name, template in (("own", predict.TEMPLATE), ("no schema", "{TASK_INSTRUCTION} {OCR_TEXT}"), ("nothing", "")):
+        try:
+            predict.check_template(template)
+            rows.append((name, ""))
+        except ValueError as e:
+            rows.append((name, str(e)))
+    return spark.createDataFrame(rows, "name string, fault string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders serialized as forms, corrupted, read by the labelled-line baseline and scored, by difficulty."""
     rows = form(receipt_map(orders_gt(spark, sf_dir))).withColumn("ocr_text", noise.apply("char_O0", F.col("raw_text"), F.col("id")))
