@@ -122,23 +122,28 @@ def split(rows: DataFrame, group: list[str], key: Column, shares: dict[str, floa
     return rows.withColumn("split", out.otherwise(list(shares)[-1])).drop("_n", "_at", "_hash", "_range", "_before")
 
 
-def dataset(spark: SparkSession, per_cell: int = 100, seed: int = 42, track: str = "synthetic") -> DataFrame:
-    """All samples: domains by difficulties by `per_cell`, serialized, corrupted, with task and split."""
-    from .noise import corrupt
+def samples(spark: SparkSession, per_cell: int = 100, seed: int = 42, track: str = "synthetic") -> DataFrame:
+    """All samples before corruption: domains by difficulties by `per_cell`, serialized, with task and split."""
     from .serialize import serialize
 
     out = None
     for domain in DOMAINS:
         rows = records(spark, domain, per_cell * len(DIFFICULTIES), seed)
         difficulty = F.element_at(F.array(*[F.lit(d) for d in DIFFICULTIES]), F.floor(F.col("row") / per_cell).cast("int") + 1)
-        rows = rows.withColumn("difficulty", difficulty).withColumn("track", F.lit(track)).withColumn("source_type", F.lit("synthetic"))
+        rows = rows.withColumn("difficulty", difficulty).withColumn("track", F.lit(track)).withColumn("source_type", F.lit(track))
         rows = rows.withColumn("raw_text", serialize(F.col("gt"), domain, F.concat_ws("-", F.lit(seed), "id")))
         out = rows if out is None else out.unionByName(rows)
     out = out.withColumn("task", task(F.col("difficulty"), F.lit(seed), F.col("id"), "task"))
-    out = corrupt(out, seed=seed)
     return split(out, ["domain", "difficulty"], F.concat_ws("-", F.lit(seed), "id"))
 
 
+def dataset(spark: SparkSession, per_cell: int = 100, seed: int = 42) -> DataFrame:
+    """All samples of the synthetic track, corrupted."""
+    from .noise import corrupt
+
+    return corrupt(samples(spark, per_cell, seed), seed=seed)
+
+
 def manifest(samples: DataFrame) -> DataFrame:
     """Rows by domain and difficulty, a column per split and their total."""
     return samples.groupBy("domain", "difficulty").agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS], F.count("*").alias("total"))

@@ -173,10 +173,10 @@ def build_dataset(spark: SparkSession, path: str, per_cell: int = 100, seed: int
     """
     from ..plans.run import cut
     from ..sources.records import read_samples, track_folder, write_samples
-    from .generate import dataset
+    from .generate import samples as generated
 
-    samples = cut(dataset(spark, per_cell, seed, track="real_ocr").select("id", "domain", "difficulty", "track", "split", "task", "raw_text", "gt"))
+    samples = cut(generated(spark, per_cell, seed, track="real_ocr").select("source_type", "id", "domain", "difficulty", "track", "split", "task", "raw_text", "gt"))
     said = read_samples_by_eye(samples, draw, read, f"{path}/vision_images" if keep_images else None)
-    out = samples.join(said, "id").withColumns({"source_type": F.lit("real_ocr"), "noise_tags": F.array().cast("array<string>"), "noise_valid": F.lit(True)})
+    out = samples.join(said, "id").withColumns({"noise_tags": F.array().cast("array<string>"), "noise_valid": F.lit(True)})
     write_samples(out, track_folder(path, "real_ocr"))
     return read_samples(spark, track_folder(path, "real_ocr"), track="real_ocr")

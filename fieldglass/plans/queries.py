@@ -545,18 +545,13 @@ for _domain in domains.DOMAINS:
 @query(" UNION ALL ".join(f"({generate_sql.texts(d, 400)})" for d in domains.DOMAINS))
 def ser_domains(spark, sf_dir):
     """Generated records of all domains as forms."""
-    out = None
-    for d in domains.DOMAINS:
-        rows = generate.records(spark, d, 400)
-        rows = rows.select("id", serialize.serialize(F.col("gt"), d, F.concat_ws("-", F.lit(42), "id")).alias("raw_text"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return generate.samples(spark).select("id", "raw_text")
 
 
 @query(generate_sql.layout(100))
 def gen_layout(spark, sf_dir):
     """Id, domain, difficulty, task and split of the whole generated data set."""
-    return generate.dataset(spark).select("id", "domain", "difficulty", "task", "split", "track", "source_type")
+    return generate.samples(spark).select("id", "domain", "difficulty", "task", "split", "track", "source_type")
 
 
 @query(f"WITH {ORDERS}, {generate_sql.selection('o', 'receipts')} SELECT id, tags FROM picked")
