@@ -27,8 +27,9 @@ LEAST, GRAM = 50, 24
 WINDOW = LEAST - GRAM + 1
 #: Bytes of text in a block file, hashed at a time, and for each bucket of anchors and each owner of segments.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES, OWNER_BYTES = 24 << 20, 1 << 20, 32 << 20, 2 << 20
-#: Documents (counted block by block) from which an anchor's start positions are dealt one by one.
-HOT_DOCS = 4096
+#: Documents (counted block by block) from which an anchor's start positions are dealt one by one: their segments, 76 bytes mostly, could
+#: take some times OWNER_BYTES. Single positions take many times the bytes of segments, so fewer documents don't split an anchor.
+HOT_DOCS = 1 << 16
 #: Bytes that are compared at a time.
 COMPARED = 1 << 22
 NO_DOC = np.iinfo("i8").max
