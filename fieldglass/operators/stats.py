@@ -130,7 +130,7 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     out = pairs.select(*by).distinct().join(sums, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= LEAST_PAIRS
     w = F.least("_plus", "_minus")
-    n = F.col("n")
+    n = F.col("n").cast("double")  # products of whole numbers overflow from 1.7 million differences
     z = F.when(enough, (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     out = out.withColumn("w", F.when(n > 0, w)).withColumn("z", z)
     p = F.when(n == 0, 1.0).otherwise(two_tailed(F.col("z")))

@@ -137,6 +137,15 @@ def test_bootstrap_and_tests(spark):
     assert (found["tie"]["p"], found["tie"]["n"], found["few"]["z"]) == (1.0, 0, None)
 
 
+def test_signed_ranks_of_two_million_pairs(spark):
+    n = 2_000_000
+    found = stats.wilcoxon(spark.range(n).select(F.lit("m").alias("m"), (F.col("id") % 4 + 1).cast("double").alias("a"), F.lit(3.5).alias("b")), ["m"]).head()
+    # differences -2.5, -1.5, -0.5 and 0.5, a quarter each: the positive ones share the lowest ranks
+    w = n // 4 * (n // 2 + 1) / 2
+    z = (w - n * (n + 1) / 4) / math.sqrt(float(n) * (n + 1) * (2 * n + 1) / 24)
+    assert (found["n"], found["w"], found["significant"]) == (n, w, True) and found["z"] == pytest.approx(z, abs=1e-4)
+
+
 def test_summary_levels_and_reports(spark):
     rows = spark.createDataFrame([("r", "easy", 1.0), ("r", "hard", 3.0), ("i", "easy", None)], "domain string, difficulty string, m double")
     got = stats.summarize(rows, ["m"])
