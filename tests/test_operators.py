@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.operators import domains, generate, noise, predict, score, serialize, stats
-from fieldglass.plans import report
+from fieldglass.plans import queries, report
 from fieldglass.sources import records
 
 TEXT = "Vendor: Blue Shop 12\nDate: 14/03/2024\nTotal: 1,234.50\n\nMode: Credit Card"
@@ -146,6 +146,17 @@ def test_signed_ranks_of_two_million_pairs(spark):
     assert (found["n"], found["w"], found["significant"]) == (n, w, True) and found["z"] == pytest.approx(z, abs=1e-4)
 
 
+def test_runs_round_as_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = spark.range(20_000).select(F.col("id").alias("s_suppkey"), (F.col("id") / 2 + 0.01 * (F.col("id") % 3)).alias("s_acctbal"))
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    a, b = queries._runs(spark, str(tmp_path))
+    got = sorted(map(tuple, a.withColumnsRenamed({"near": "near_a", "far": "far_a"}).join(b, "id").select("id", "near_a", "near", "far_a", "far").collect()))
+    sql = f"""WITH x AS (SELECT s_suppkey AS id, abs(s_acctbal) / 10000 AS x, s_suppkey % 7 / 100 AS e FROM '{tmp_path}/supplier.parquet/*.parquet')
+        SELECT id, round(x, 4), round(x + e - 0.03, 4), round(x / 2, 4), round(x / 2 + 0.3 + e, 4) FROM x ORDER BY id"""
+    assert got == duckdb.sql(sql).fetchall()
+
+
 def test_summary_levels_and_reports(spark):
     rows = spark.createDataFrame([("r", "easy", 1.0), ("r", "hard", 3.0), ("i", "easy", None)], "domain string, difficulty string, m double")
     got = stats.summarize(rows, ["m"])
