@@ -38,12 +38,25 @@ NO_DOC = np.iinfo("i8").max
 # The difference-cover algorithm, on arrays.
 
 
-def order3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Stable order of triples of non-negative numbers."""
+def order3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of triples of non-negative numbers, and whether each, in that order, differs from the one before."""
     bits = [int(x.max(initial=0)).bit_length() for x in (a, b, c)]
+    new = np.ones(len(a), bool)
     if sum(bits) < 64:
-        return np.argsort((a.astype("u8") << np.uint64(bits[1] + bits[2])) | (b.astype("u8") << np.uint64(bits[2])) | c.astype("u8"), kind="stable")
-    return np.lexsort((c, b, a))
+        key = a.astype("u8")
+        for more, width in ((b, bits[1]), (c, bits[2])):
+            key <<= np.uint64(width)
+            key |= more.astype("u8")
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        return by, new
+    by = np.lexsort((c, b, a))
+    new[1:] = False
+    for x in (a, b, c):
+        x = x[by]
+        new[1:] |= x[1:] != x[:-1]
+    return by, new
 
 
 def suffix_order(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
@@ -51,48 +64,55 @@ def suffix_order(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
 
     Suffixes at positions 1 and 2 modulo 3 are named by the order of their triples; where names repeat and triples don't reach
     `depth` yet, the string of names is sorted first by the same algorithm. The other suffixes are sorted by a symbol and the
-    rank that follows, and merged in by counting the sampled suffixes below each.
+    rank that follows, and merged in by counting the sampled suffixes below each. Numbers take four bytes where they fit, and
+    nothing but the symbols and their names is held while the names are sorted.
     """
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), "i8")
-    t = np.concatenate((s.astype("i8") + 1, np.zeros(3, "i8")))  # below every symbol: the end
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate((ones, twos))
-    a, b, c = t[sample], t[sample + 1], t[sample + 2]
-    by = order3(a, b, c)
-    new = np.ones(len(by), bool)
-    new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]) | (c[by][1:] != c[by][:-1])
-    names = np.empty(len(sample), "i8")
-    names[by] = np.cumsum(new)
+    kind = "i4" if max(n, int(s.max())) < 2**31 - 8 else "i8"
+    t = np.zeros(n + 3, kind)  # below every symbol: the end
+    t[:n] = s
+    t[:n] += 1
+    places = lambda: np.concatenate((np.arange(1, n + (n % 3 == 1), 3, dtype=kind), np.arange(2, n, 3, dtype=kind)))
+    sample = places()
+    by, new = order3(t[sample], t[sample + 1], t[sample + 2])
+    del sample
+    names = np.empty(len(by), kind)
+    names[by] = np.cumsum(new, dtype=kind)
     if not new.all() and 3 * width < depth:
+        del by, new
         by = suffix_order(names, depth, 3 * width)
-        place = np.empty(len(sample), "i8")
-        place[by] = np.arange(1, len(by) + 1)
-        names = place
-    else:
-        by = by[np.argsort(names[by], kind="stable")]
-    rank = np.zeros(n + 3, "i8")
+        names[by] = np.arange(1, len(by) + 1, dtype=kind)
+    sample = places()
+    rank = np.zeros(n + 3, kind)
     rank[sample] = names
     sampled = sample[by]
+    del by, names, sample
     sampled = sampled[sampled < n]
-    zeros = np.arange(0, n, 3)
-    zeros = zeros[order3(t[zeros], rank[zeros + 1], np.zeros(len(zeros), "i8"))]
+    zeros = np.arange(0, n, 3, dtype=kind)
+    zeros = zeros[order3(t[zeros], rank[zeros + 1], np.zeros(len(zeros), "u1"))[0]]
     shift = np.int64(int(rank.max()) + 1)
-    below = np.zeros(len(zeros), "i8")
+    below = np.zeros(len(zeros), kind)
     for r in (1, 2):
         other = sampled[sampled % 3 == r]
         if r == 1:
             keys, asked = t[other] * shift + rank[other + 1], t[zeros] * shift + rank[zeros + 1]
         else:
-            two = lambda i: np.unique(np.concatenate((t[i] * (t.max() + 1) + t[i + 1], t[zeros] * (t.max() + 1) + t[zeros + 1])), return_inverse=True)[1]  # noqa: B023, E731
-            first = two(other)
-            keys, asked = first[: len(other)] * shift + rank[other + 2], first[len(other) :] * shift + rank[zeros + 2]
-        below += np.searchsorted(np.sort(keys), asked, "left")
+            top = np.int64(int(t.max()) + 1)
+            keys, asked = (t[i] * top + t[i + 1] for i in (other, zeros))
+            if int(top) ** 2 * int(shift) >= 1 << 63:
+                both = np.unique(np.concatenate((keys, asked)), return_inverse=True)[1]
+                keys, asked = both[: len(other)], both[len(other) :]
+                del both
+            keys, asked = keys * shift + rank[other + 2], asked * shift + rank[zeros + 2]
+        keys.sort()
+        below += np.searchsorted(keys, asked, "left").astype(kind)
+        del keys, asked, other
     # suffixes equal up to `depth` may be ranked in any order, and so may be counted in any: only among them can this move one
     below = np.maximum.accumulate(below)
-    out = np.empty(n, "i8")
-    at = below + np.arange(len(zeros))
+    out = np.empty(n, kind)
+    at = below + np.arange(len(zeros), dtype=kind)
     out[at] = zeros
     rest = np.ones(n, bool)
     rest[at] = False
@@ -103,21 +123,26 @@ def suffix_order(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
 def first_holders(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For segments data[starts[i]:starts[i] + lengths[i]], each with a 0 after it: per start position of a whole string of
     LEAST bytes, in order, the smallest document whose segment holds that string."""
-    text = np.concatenate((data, np.zeros(LEAST + 8, data.dtype)))
     sa = suffix_order(data, LEAST)
+    text = np.concatenate((data, np.zeros(LEAST + 8, data.dtype)))
     counts = lengths - LEAST + 1
-    segment = np.repeat(np.arange(len(starts)), counts)
-    position = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[segment]
-    holder = np.full(len(data), -1, "i8")
-    holder[position] = np.arange(len(position))
+    kind = sa.dtype
+    segment = np.repeat(np.arange(len(starts), dtype=kind), counts)
+    position = np.arange(len(segment), dtype=kind) + np.repeat((starts - np.cumsum(counts) + counts).astype(kind), counts)
+    holder = np.full(len(data), -1, kind)
+    holder[position] = np.arange(len(position), dtype=kind)
     order = holder[sa]
+    del sa, holder
     order = order[order >= 0]
     at = position[order]
     # adjacent prefixes: seven 8-byte words cover the 50 bytes
     raw = (text - (text > 0)).astype("u1")
+    del text
     word = np.zeros(len(raw) - 7, "u8")
-    for k in range(8):
-        word |= raw[k : len(word) + k].astype("u8") << np.uint64(8 * k)
+    for low in range(0, len(word), COMPARED):
+        part = word[low : low + COMPARED]
+        for k in range(8):
+            part |= raw[low + k : low + k + len(part)].astype("u8") << np.uint64(8 * k)
     same = np.ones(max(0, len(at) - 1), bool)
     for k in (0, 8, 16, 24, 32, 40, LEAST - 8):
         w = word[at + k]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -226,6 +227,21 @@ def test_bitmaps_bound_differences():
         assert sum(int(v).bit_count() for v in x.view("u8")) <= len(np.setxor1d(a, b))
 
 
+def test_memory_of_an_owner():
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(50, 90, 14_000)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    data = np.zeros(int((lengths + 1).sum()), "u2")
+    words = rng.integers(98, 124, (300, 10)).astype("u2")
+    for at, size in zip(starts, lengths, strict=True):
+        data[at : at + size] = words[rng.integers(0, 300, 9)].ravel()[:size]
+    tracemalloc.start()
+    suffix_dedup.first_holders(data, starts, lengths, rng.integers(0, 1000, len(lengths)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(data)  # bytes; with every number in eight bytes it was over 100
+
+
 def test_suffix_order():
     rng = random.Random(5)
     for _ in range(200):
