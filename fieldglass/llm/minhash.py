@@ -26,6 +26,8 @@ BLOCK = 2048
 PIVOTS = 3
 #: Members of a bucket, or of a part of one, that are paired in one place; fuller buckets are split.
 CELL = 2048
+#: Pairs of members whose bitmaps are compared at a time.
+PAIRED = 1 << 14
 
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 1 << 32, PERMUTATIONS, dtype="u4")[:, None] | np.uint32(1)
@@ -131,21 +133,74 @@ def in_cells(members: DataFrame, percent: int, most: int = CELL) -> DataFrame:
     return placed.withColumn("cell", F.explode(F.when(one, F.array(cell(zero, zero, zero, zero))).otherwise(cells))).drop("class", "parts", "above", "below")
 
 
+def met_in_cells(rows: dict[str, np.ndarray], bits: np.ndarray, keys: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller rep, larger rep) of rows of one cell, cells being runs of rows, that pass the conditions of rest_of_pairs()."""
+    n = len(rows["rep"])
+    cell = np.stack([rows[c] for c in ("key", "ca", "ci", "cb", "cj")])
+    ends = np.append(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, n)
+    partners = ends[np.searchsorted(ends, np.arange(n), "right")] - np.arange(n) - 1
+    total = np.cumsum(partners)
+    same_part = (rows["ca"] == rows["cb"]) & (rows["ci"] == rows["cj"])  # whole buckets, too
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRED, "right")))
+        own = partners[at:to]
+        x = np.repeat(np.arange(at, to), own)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+        size = [rows["n"][i] for i in (x, y)]
+        ok = (rows["label"][x] != rows["label"][y]) & (rows["rep"][x] != rows["rep"][y]) & (100 * np.minimum(*size) >= percent * np.maximum(*size))
+        ok &= same_part[x] | (rows["oa"][x] != rows["oa"][y]) | (rows["oi"][x] != rows["oi"][y])
+        x, y = x[ok], y[ok]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype="i8")
+        ok = (100 + percent) * differ <= (100 - percent) * (rows["n"][x] + rows["n"][y])
+        x, y = x[ok], y[ok]
+        first = ~((keys[x] == keys[y]) & (np.arange(keys.shape[1]) < rows["place"][x][:, None])).any(1)
+        a, b = rows["rep"][x[first]], rows["rep"][y[first]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        at = to
+
+
 def rest_of_pairs(members: DataFrame, info: DataFrame, percent: int, most: int = CELL) -> DataFrame:
     """All pairs of a bucket's members (key, place, rep, n, label) with different labels that could be similar enough.
 
     Sets that share `percent` of their union differ in at most (100 - percent) / (100 + percent) of their sizes' sum, and
     bitmaps in no more bits: pairs over the bound can't be links. A pair comes from the first of its common buckets. Fuller
     buckets are paired cell by cell. info: bits and bands of each rep.
+
+    Cells are runs of sorted rows; their pairs are made and ruled out on arrays, PAIRED at a time.
     """
-    fat = in_cells(members, percent, most).join(info, "rep").select("key", "cell", "own", "place", "rep", "n", "label", "bands", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)])
-    other = fat.select("key", "cell", *[F.col(c).alias(f"p_{c}") for c in fat.columns if c not in ("key", "cell", "place")])
-    differ = " + ".join(f"bit_count(w{i} ^ p_w{i})" for i in range(BITMAP))
-    met = fat.join(other, ["key", "cell"]).where(
-        f"rep < p_rep AND label <> p_label AND 100 * least(n, p_n) >= {percent} * greatest(n, p_n) AND (own IS NULL OR own <> p_own OR (cell.a = cell.b AND cell.i = cell.j)) "
-        f"AND {100 + percent} * ({differ}) <= {100 - percent} * (n + p_n) AND NOT arrays_overlap(slice(bands, 1, place), slice(p_bands, 1, place))"
-    )
-    return met.select(F.col("rep").alias("a"), F.col("p_rep").alias("b"))
+    names = ["key", "ca", "ci", "cb", "cj", "oa", "oi", "place", "rep", "n", "label"]
+    none = F.lit(0).cast("long")
+    fat = in_cells(members, percent, most).join(info, "rep").select(
+        "key", *[F.col(f"cell.{x}").alias(f"c{x}") for x in "aibj"], *[F.coalesce(F.col(f"own.{x}"), none).alias(f"o{x}") for x in "ai"], F.col("place").cast("long").alias("place"), "rep", "n", "label", "bits", "bands"
+    )
+    fat = fat.repartition("key", "ca", "ci", "cb", "cj").sortWithinPartitions("key", "ca", "ci", "cb", "cj")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            flat = lambda c: pa.concat_arrays([x.flatten() for x in table.column(c).chunks]).to_numpy()
+            rows = {c: table.column(c).to_numpy() for c in names}
+            for a, b in met_in_cells(rows, flat("bits").view("u8").reshape(-1, BITMAP), flat("bands").reshape(-1, BANDS), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [held.column(c)[-1] for c in names[:5]]
+            cell = np.stack([held.column(c).to_numpy() == x.as_py() for c, x in zip(names[:5], last, strict=True)]).all(0)
+            whole = int(np.argmax(cell))  # rows before the last cell, which may go on in the next batch
+            if whole:
+                yield from pairs(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from pairs(held)
+        give_back()
+
+    return fat.mapInArrow(run, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:

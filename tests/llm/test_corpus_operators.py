@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -218,6 +219,29 @@ def test_cells_hold_every_pair_of_like_sizes_once(spark):
     assert due <= set(met)
 
 
+def test_pairs_of_cells_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    n = 1500
+    base = np.unique(rng.integers(0, 1 << 62, 400, dtype="u8"))
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(320, 401)], rng.integers(0, 1 << 62, rng.integers(1, 30), dtype="u8")))) for _ in range(n)]
+    bits, keys = np.array([minhash.bitmap(x) for x in sets]).view("u8"), rng.integers(0, 60, (n, minhash.BANDS))
+    rows = {c: np.zeros(n, "i8") for c in ("key", "ca", "ci", "cb", "cj", "oa", "oi")} | {"rep": rng.permutation(n).astype("i8"), "n": np.array([len(x) for x in sets]), "label": rng.integers(0, 900, n), "place": np.full(n, 7)}
+    rows["key"] = np.repeat([3, 4, 5], [1, n - 300, 299])
+    split = rows["key"] == 4  # a cell of two parts: members of one part meet elsewhere
+    rows["cj"][split], rows["oi"][split] = 1, rng.integers(0, 2, split.sum())
+    began = time.process_time()
+    got = [tuple(map(int, p)) for a, b in minhash.met_in_cells(rows, bits, keys, 80) for p in zip(a, b, strict=True)]
+    assert time.process_time() - began < 5  # 800,000 pairs: a join of rows with columns of bits took some microseconds a pair
+    due = set()
+    for x in range(n):
+        y = np.arange(x + 1, n)
+        y = y[(rows["key"][y] == rows["key"][x]) & (rows["label"][y] != rows["label"][x]) & (~split[x] | (rows["oi"][y] != rows["oi"][x]))]
+        small, large = np.minimum(rows["n"][x], rows["n"][y]), np.maximum(rows["n"][x], rows["n"][y])
+        ok = (100 * small >= 80 * large) & (180 * np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype="i8") <= 20 * (small + large)) & ~(keys[y, :7] == keys[x, :7]).any(1)
+        due |= {tuple(sorted((int(rows["rep"][x]), int(rows["rep"][j])))) for j in y[ok]}
+    assert due and len(got) == len(set(got)) and set(got) == due
+
+
 def test_bitmaps_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(50):
