@@ -44,13 +44,14 @@ def window_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def in_text(value: Column, text: Column, threshold: float = THRESHOLD) -> Column:
-    """Whether a text holds a value, exactly or nearly; a null or blank value counts as held. Only values that aren't found
-    exactly reach the Arrow form: the others pass null to it."""
+def in_text(value: Column, text: Column, threshold: float = THRESHOLD, exactly: Column | None = None) -> Column:
+    """Whether a text holds a value, exactly or nearly (only exactly where `exactly` is true); a null or blank value counts as
+    held. Only values that aren't found exactly reach the Arrow form: the others pass null to it."""
     v, t = F.lower(strip(value)), F.lower(F.coalesce(text, F.lit("")))
     blank = F.coalesce(v, F.lit("")) == ""
     exact = F.contains(t, v)
-    near = window_ratio_arrow(F.when(~blank & ~exact, v), F.when(~blank & ~exact, t)) >= threshold
+    asked = ~blank & ~exact if exactly is None else ~blank & ~exact & ~exactly
+    near = window_ratio_arrow(F.when(asked, v), F.when(asked, t)) >= threshold
     return blank | F.coalesce(exact, F.lit(False)) | F.coalesce(near, F.lit(False))
 
 

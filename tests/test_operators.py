@@ -1,5 +1,6 @@
 """Generation, noise, prediction, scoring and statistics on small tables."""
 
+import datetime
 import math
 
 import pytest
@@ -157,6 +158,23 @@ def test_runs_round_as_their_sql(spark, tmp_path):
     assert got == duckdb.sql(sql).fetchall()
 
 
+def test_scores_of_doubled_totals_match_their_sql(spark, tmp_path):
+    """25999.9 and the 2,999.9 in 12,999.95 have six of seven places in common."""
+    duckdb = pytest.importorskip("duckdb")
+    totals = [12999.95, 24999.95, 49999.95, 124999.95, 375999.95, 1234.5, 20000.0, 4321.12]
+    keys = [5 * i + 1 for i in range(len(totals))] + [5 * i + 3 for i in range(len(totals))]
+    orders = [(k, 7, datetime.date(1995, 3, 1 + i), t) for i, (k, t) in enumerate(zip(keys, totals * 2, strict=True))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "Customer#000000007")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    db = duckdb.connect()
+    for name in ("orders", "customer"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("agg_field_scores",):
+        due = db.sql(queries.SQL[name])
+        got = queries.QUERIES[name](spark, str(tmp_path)).select(*due.columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, due.fetchall()))
+
+
 def test_summary_levels_and_reports(spark):
     rows = spark.createDataFrame([("r", "easy", 1.0), ("r", "hard", 3.0), ("i", "easy", None)], "domain string, difficulty string, m double")
     got = stats.summarize(rows, ["m"])
