@@ -169,7 +169,7 @@ def test_scores_of_doubled_totals_match_their_sql(spark, tmp_path):
     db = duckdb.connect()
     for name in ("orders", "customer"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("agg_field_scores",):
+    for name in ("agg_field_scores", "agg_failure_modes"):
         due = db.sql(queries.SQL[name])
         got = queries.QUERIES[name](spark, str(tmp_path)).select(*due.columns).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, due.fetchall()))
