@@ -82,12 +82,17 @@ def width(field: T.StructField) -> Column:
     return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a stored table for broadcast if its values take `limit` bytes at most; else leaves the join to a shuffle."""
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of a stored table take `limit` bytes at most."""
     per_row = F.lit(16)
     for field in df.schema.fields:
         per_row = per_row + width(field)
-    return F.broadcast(df) if (df.agg(F.sum(per_row.cast("long"))).head()[0] or 0) <= limit else df
+    return (df.agg(F.sum(per_row.cast("long"))).head()[0] or 0) <= limit
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a stored table for broadcast if its values take `limit` bytes at most; else leaves the join to a shuffle."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def uniform(*cols: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, sized, stored, text_or_empty
+from .common import WORD, WS, fits, sized, stored, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -90,24 +91,23 @@ def _estimates(rows: DataFrame, by: list[str], consistency: float) -> DataFrame:
     names = list(VECTOR)
     cells = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     got = rows.groupBy(*by).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in cells])
-    for i, j in cells:
-        ridge = list(VECTOR.values())[i] ** 2 if i == j else 0.0
-        got = got.withColumn(f"c{i}{j}", F.col(f"c{i}{j}") * consistency + F.lit(ridge))
+    ridge = [x**2 for x in VECTOR.values()]
+    got = got.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * consistency + F.lit(ridge[i] if i == j else 0.0) for i, j in cells})
     # Cholesky factor, column by column
     for j in range(len(names)):
-        for i in range(j, len(names)):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            got = got.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+        rest = {i: F.col(f"c{i}{j}") for i in range(j, len(names))}
+        for k in range(j):
+            rest = {i: r - F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for i, r in rest.items()}
+        got = got.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest.pop(j), F.lit(1e-9))))
+        got = got.withColumns({f"l{i}{j}": r / F.col(f"l{j}{j}") for i, r in rest.items()}) if rest else got
     det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(names))), 2 * F.log("l00"))
     return got.select(*by, det.alias("det"), *[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i, j in cells])
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, estimates: DataFrame, hint: Callable[[DataFrame], DataFrame] = sized) -> DataFrame:
     """Squared Mahalanobis distance d2 by forward substitution; a row for each start s, if the estimates have starts."""
     names = list(VECTOR)
-    out = rows.join(sized(estimates), "g", "left")
+    out = rows.join(hint(estimates), "g", "left")
     for i, x in enumerate(names):
         z = F.col(x) - F.col(f"m{i}")
         for k in range(i):
@@ -116,14 +116,16 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(names))), F.col("z0") * F.col("z0"))).select(*rows.columns, *[c for c in ["s"] if c in estimates.columns], "d2")
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _nearest(rows: DataFrame, hint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The SUPPORT share of the rows (with d2) of each group and start that lie nearest, cut at a bin of 1/32 of a doubling.
 
-    Only counts by bin leave the scan, a bounded table for each group and start.
+    Only counts by bin leave the scan, a bounded table for each group and start. The cuts are stored and sized, unless it is
+    known how they are to be joined.
     """
     rows = rows.withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * 32))
     cut = rows.groupBy("g", "s").agg(F.percentile("bin", SUPPORT).alias("cut"))
-    return rows.join(sized(stored(cut, "cut")), ["g", "s"]).where(F.col("bin") <= F.col("cut"))
+    cut = hint(cut) if hint else sized(stored(cut, "cut"))
+    return rows.join(cut, ["g", "s"]).where(F.col("bin") <= F.col("cut"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -144,7 +146,8 @@ def outliers(rows: DataFrame) -> DataFrame:
     lowest values of each statistic that junk raises. Concentration steps run on all starts at once until they settle: estimate
     mean and covariance from the nearest SUPPORT share, which doesn't raise the determinant, and measure all rows again. The
     start with the least determinant gives a group's raw estimates; rows NEAR them give the final ones. Each step scans a
-    narrow stored table; what it shuffles is counts by bin and moments by group.
+    narrow stored table; what it shuffles is counts by bin and moments by group. A step is one write, which carries the least
+    estimates so far along, and one maximum: the driver holds threads, plans and code of every query.
     """
     names = list(VECTOR)
     half = lambda cols, p: [(F.percentile(F.floor(c * 256), 0.5) / 256 + 0.5 / 256).alias(f"{p}{i}") for i, c in enumerate(cols)]
@@ -160,17 +163,21 @@ def outliers(rows: DataFrame) -> DataFrame:
     ]
     first = centred.join(sized(spread), "g").select("g", *names, F.posexplode(F.array(*starts)).alias("s", "d2"))
     narrow = rows.select("g", *names)
-    fields = lambda df: [c for c in df.columns if c not in ("g", "s", "det")]
-    got = least = stored(_estimates(_nearest(first), ["g", "s"], CONSISTENCY), "estimates-0")
+    got = _estimates(_nearest(first), ["g", "s"], CONSISTENCY)
+    fields = [c for c in got.columns if c not in ("g", "s", "det")]
+    state = stored(got.select(*got.columns, F.struct("det", *fields).alias("e"), F.lit(None).cast("double").alias("fallen")), "estimates-0")
+    # every step's estimates and cuts have the groups and starts of the first: how they are joined is decided once
+    hint = F.broadcast if fits(state) else lambda df: df
     for step in range(1, MOST_STEPS + 1):
-        got = stored(_estimates(_nearest(_with_distance(narrow, got)), ["g", "s"], CONSISTENCY), f"estimates-{step}")
-        before = least
-        least = before.unionByName(got).groupBy("g", "s").agg(F.min(F.struct("det", *fields(got))).alias("e"))
-        least = stored(least.select("g", "s", "e.*").select(*got.columns), f"least-{step}")
-        fallen = least.join(sized(before.select("g", "s", F.col("det").alias("was"))), ["g", "s"]).agg(F.max(F.col("was") - F.col("det"))).head()[0]
+        now = state.select("g", "s", "det", *fields)
+        got = _estimates(_nearest(_with_distance(narrow, now, hint), hint), ["g", "s"], CONSISTENCY)
+        before = state.select("g", "s", F.col("e").alias("was"))
+        e = F.least("was", F.when(F.col("det").isNotNull(), F.struct("det", *fields)))
+        state = stored(before.join(hint(got), ["g", "s"], "left").select(*got.columns, e.alias("e"), (F.col("was.det") - e["det"]).alias("fallen")), f"estimates-{step}")
+        fallen = state.agg(F.max("fallen")).head()[0]
         if fallen is None or fallen <= SETTLED:
             break
-    best = least.groupBy("g").agg(F.min(F.struct("det", *fields(least))).alias("e")).select("g", "e.*")
+    best = state.groupBy("g").agg(F.min("e").alias("e")).select("g", "e.*")
     near = _with_distance(narrow, stored(best, "estimates-raw")).where(F.col("d2") <= NEAR)
     return _with_distance(rows, stored(_estimates(near, ["g"], NEAR_CONSISTENCY), "estimates"))
 

@@ -130,6 +130,14 @@ def test_quality(docs, texts, none):
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_writes_one_table_a_step(spark, docs, monkeypatch):
+    names = []
+    monkeypatch.setattr(quality, "stored", lambda df, what, stored=quality.stored: names.append(what) or stored(df, what))
+    quality.quality(docs).count()
+    steps = names[names.index("estimates-0") : names.index("estimates-raw")]
+    assert len(steps) > 2 and steps == [f"estimates-{i}" for i in range(len(steps))]
+
+
 def test_quality_rejects_outliers_and_keeps_clean(spark):
     rng = random.Random(3)
     clean = [(i, prose(rng, rng.randint(60, 400)), "en", "s", None, 0, "x") for i in range(300)]
