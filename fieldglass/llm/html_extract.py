@@ -49,6 +49,7 @@ class Block:
     path: str
     text: str
     article: int  # 3 in an article, 2 in main, 1 in an element named as content, 0 elsewhere
+    at: int = 0  # start tags that stand before the text's end
 
 
 def _marks(tag: str, attrs: str, inside: int) -> tuple[bool, int]:
@@ -89,7 +90,7 @@ def scan(page: str) -> tuple[list[str], list[Block]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text and not aside:
-                blocks.append(Block(path, text, level))
+                blocks.append(Block(path, text, level, len(structure)))
 
     def close(names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -154,50 +155,134 @@ def text_token(block: Block) -> int:
     return _token("text ", f"{block.path} {block.text}")
 
 
+def sequence(page: str) -> list[int]:
+    """The tokens of a page in order: start tags and blocks of text, each with its path."""
+    structure, blocks = scan(page)
+    out, k = [], 0
+    for i, path in enumerate(structure):
+        while k < len(blocks) and blocks[k].at <= i:
+            out.append(text_token(blocks[k]))
+            k += 1
+        out.append(_token("tag ", path))
+    return out + [text_token(b) for b in blocks[k:]]
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, n): occurrences of each token on each page; a token is a start tag or a block of text, with its path, or PAGE_TOKEN."""
+    """(host, page, token, n, at): occurrences of each token on each page and the place of the first; PAGE_TOKEN stands before all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found, counts = [], []
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found, counts, places = [], [], []
                 for page in part.column("html").to_pylist():
-                    structure, blocks = scan(page or "")
-                    seen = Counter(_token("tag ", p) for p in structure)
-                    seen.update(map(text_token, blocks))
+                    seen: Counter[int] = Counter()
+                    first: dict[int, int] = {}
+                    for at, token in enumerate(sequence(page or "")):
+                        seen[token] += 1
+                        first.setdefault(token, at)
                     if seen:
-                        seen[PAGE_TOKEN] = 1
+                        seen[PAGE_TOKEN], first[PAGE_TOKEN] = 1, -1
                     found.append(list(seen))
                     counts.append(list(seen.values()))
-                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["host", "page", "token", "n"])
+                    places.append([first[t] for t in seen])
+                arrays = [pa.array(x, pa.list_(pa.int64())) for x in (found, counts, places)]
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), *arrays], names=["host", "page", "token", "n", "at"])
 
-    got = pages.mapInArrow(run, "host string, page bigint, token array<bigint>, n array<bigint>")
-    return got.select("host", "page", F.explode(F.arrays_zip("token", "n")).alias("t")).select("host", "page", "t.token", "t.n")
+    got = pages.mapInArrow(run, "host string, page bigint, token array<bigint>, n array<bigint>, at array<bigint>")
+    return got.select("host", "page", F.explode(F.arrays_zip("token", "n", "at")).alias("t")).select("host", "page", "t.token", "t.n", "t.at")
 
 
 def classes(pages: DataFrame) -> DataFrame:
     """(host, pages, vector, tokens): the equivalence classes of each host's tokens. Tokens are of one class if they have the same
     occurrence vector: how often each page has them. A vector is known by its number of pages and by the combined hashes of
-    page and count, which add up on the map side, so no task holds a host's pages. Classes of few pages are left out."""
+    page and count, which add up on the map side, so no task holds a host's pages. A class's tokens stand in the order of their
+    first places on one page, the same for all of them. Classes of few pages are left out."""
     vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
-    found = tokens(pages).groupBy("host", "token").agg(F.count("*").alias("pages"), vector).where(F.col("pages") >= CLASS_PAGES * CLASS_SHARE)
-    return found.groupBy("host", "pages", "vector").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    found = tokens(pages).groupBy("host", "token").agg(F.count("*").alias("pages"), vector, F.min(F.struct("page", "at")).alias("first")).where(F.col("pages") >= CLASS_PAGES * CLASS_SHARE)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("first", "token"))), lambda x: x["token"])
+    return found.groupBy("host", "pages", "vector").agg(ordered.alias("tokens"))
+
+
+def faults(page: list[int], owner: dict[int, tuple[int, int]], sizes: list[int]) -> set[tuple[int, int]]:
+    """(class, place): where classes must be cut to be ordered and nested on a page. owner: class and place of a token; classes
+    are numbered from the least to the greatest.
+
+    A class is ordered if its tokens come as first, second, ..., last, once for every occurrence, before any comes again. Two
+    classes are nested if neither has a token between two tokens of an occurrence that reaches beyond it; of two that cross,
+    the lesser is cut there. Pieces of what is ordered and nested are so, too, so cuts of all pages add up.
+    """
+    events = [(at, *owner[t]) for at, t in enumerate(page) if t in owner]
+    places: dict[int, list[list[int]]] = {}
+    for at, c, i in events:
+        places.setdefault(c, [[] for _ in range(sizes[c])])[i].append(at)
+    cuts: set[tuple[int, int]] = set()
+    begins: dict[int, list[int]] = {}
+    for c, of in places.items():
+        start, begin = 0, [0]
+        for i in range(1, sizes[c]):
+            in_turn = all(x < y for x, y in zip(of[i - 1], of[i], strict=False)) and all(y < x for x, y in zip(of[start][1:], of[i], strict=False))
+            if not in_turn:
+                cuts.add((c, i))
+                start = i
+            begin.append(start)
+        begins[c] = begin
+    opened: list[list[int]] = []  # class, start of its piece, last place seen
+    for _, c, i in events:
+        begin = begins[c][i]
+        at = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][:2] == [c, begin]), None) if i > begin else None
+        if at is not None:
+            for other in opened[at + 1 :]:
+                cuts.add((other[0], other[2] + 1) if other[0] < c else (c, i))
+            opened[at + 1 :] = [x for x in opened[at + 1 :] if x[0] >= c]
+            del opened[at]
+        if i + 1 < sizes[c] and begins[c][i + 1] == begin:
+            # a piece that went on stays where it was opened; one that was cut, or has just begun, lies within all others
+            opened.insert(len(opened) if at is None or (c, i) in cuts else at, [c, begin, i])
+    return cuts
+
+
+def pieces(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes cut where a page shows them out of order or crossing a greater class (see faults), so that all of them are ordered
+    and nested. Pages send the places of cuts, which are distinct on the map side."""
+    known = F.sort_array(F.collect_list(F.struct("pages", F.size("tokens").alias("size"), "vector", "tokens")))
+    held = stored(found.where(F.size("tokens") > 1).groupBy("host").agg(known.alias("classes")), "held-classes")
+    placed = pages.join(sized(held), "host").select("host", "html", "classes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners: dict[str, tuple] = {}
+            out: set[tuple] = set()
+            for host, page, classes_ in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("classes"), strict=True):
+                if host not in owners:
+                    of = classes_.as_py()
+                    owners[host] = of, {t: (c, i) for c, x in enumerate(of) for i, t in enumerate(x["tokens"])}, [x["size"] for x in of]
+                of, owner, sizes = owners[host]
+                out.update((host, of[c]["pages"], of[c]["vector"], i) for c, i in faults(sequence(page.as_py()), owner, sizes))
+            rows = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["host", "pages", "vector", "cut"])
+
+    cuts = placed.mapInArrow(run, "host string, pages bigint, vector bigint, cut int").distinct().groupBy("host", "pages", "vector").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    got = found.join(sized(stored(cuts, "cuts")), ["host", "pages", "vector"], "left")
+    ends = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("tokens")))
+    parts = F.transform(F.sequence(F.lit(0), F.size("ends") - 2), lambda k: F.slice("tokens", F.get("ends", k) + 1, F.get("ends", k + 1) - F.get("ends", k)))
+    return got.withColumn("ends", ends).withColumn("tokens", F.explode(parts)).drop("ends", "cuts")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of each host's valid classes, nested by their pages: the classes of CLASS_SHARE of the host's
-    different pages or more, and within them those of CLASS_PAGES or more that have CLASS_SIZE tokens, such as a box that some
-    pages have.
+    """(host, template): the tokens of each host's valid classes: the classes of CLASS_SHARE of the host's different pages or
+    more, and those of CLASS_PAGES or more that have CLASS_SIZE tokens, such as a box that some pages have. Valid classes are
+    ordered and nested on every page; one that isn't is cut into pieces that are, and its pieces are held to the same sizes.
 
     Pages without tokens don't count, so a page without the frame, or an empty one, takes no host's template away. A host with
     too few pages, or too few such tokens, has no template. All tokens of a class stand on one page, so a class is no larger
-    than a page. That the tokens of a class come in one order on all pages is not checked.
+    than a page.
     """
     found = stored(classes(pages), "classes")
     n_pages = found.where(F.array_contains("tokens", F.lit(PAGE_TOKEN))).select("host", F.col("pages").alias("all")).where(F.col("all") >= CLASS_PAGES)
     found = found.join(sized(stored(n_pages, "hosts")), "host").withColumn("tokens", F.array_remove("tokens", PAGE_TOKEN))
-    valid = found.where((F.col("pages") >= CLASS_SHARE * F.col("all")) | ((F.col("pages") >= CLASS_PAGES) & (F.size("tokens") >= CLASS_SIZE)))
+    large = (F.col("pages") >= CLASS_SHARE * F.col("all")) | ((F.col("pages") >= CLASS_PAGES) & (F.size("tokens") >= CLASS_SIZE))
+    valid = pieces(pages, stored(found.where(large & (F.size("tokens") > 0)), "large-classes")).where(large)
     return valid.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("template")).where(F.size("template") >= CLASS_SIZE)
 
 
@@ -216,7 +301,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of `pages`: id, url, text, n_chars, host.
 
     1. Pages are cut into tokens; tokens with one occurrence vector over a host's pages are an equivalence class.
-    2. The valid classes, nested by their pages, are the host's template; the rest is slots.
+    2. The valid classes, ordered and nested on every page, are the host's template; the rest is slots.
     3. Slots inside elements that mark menus, headers, footers, sidebars, notices, adverts, forms or reader comments are left
        out. Slots in an article, main or an element named as content are taken, unless the slots outside hold more text: then all.
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a blank line.

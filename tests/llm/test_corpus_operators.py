@@ -515,3 +515,26 @@ def test_classes_against_brute_force(spark):
                 due[i] = "\n\n".join(html_extract.choose(html_extract.scan(h)[1], template))
     assert got == due
     assert not any("Every week" in t for i, t in got.items()) and any("Now and then" in t for t in got.values()) and got[201] == "404" and got[202] == "one"
+
+
+def test_classes_are_cut_to_be_ordered_and_nested():
+    owner = {t: (c, i) for c, ts in enumerate([(7, 8), (4, 5, 6), (1, 2, 3)]) for i, t in enumerate(ts)}
+    cut = lambda *page: html_extract.faults(list(page), owner, [2, 3, 3])
+    assert cut(1, 4, 7, 0, 8, 5, 6, 2, 3) == cut(1, 2, 3, 1, 2, 3, 4, 5, 6, 4, 5, 6) == cut() == set()
+    assert cut(1, 3, 2) == {(2, 2)} and cut(2, 1, 3) == {(2, 1)}
+    assert cut(1, 2, 1, 2, 3, 3) == {(2, 2)}
+    # the lesser of two classes that cross is cut, whichever opens first
+    assert cut(1, 4, 2, 5, 6, 3) == {(1, 1)} and cut(4, 5, 1, 6, 2, 3) == {(1, 2)} and cut(1, 7, 4, 8, 5, 6, 2, 3) == {(0, 1)}
+
+
+def test_text_out_of_order_is_no_template(spark):
+    """Three lines that a third of the pages have are a box only if they come in one order."""
+    lines = ["<p>Alpha says so</p>", "<p>Beta agrees now</p>", "<p>Gamma does not</p>"]
+    page = "<html><body><div><p>Welcome to the site</p></div><div><p>Story {n}</p></div>{box}<div><p>All rights</p></div></body></html>"
+    turned = [lines, [lines[1], lines[0], lines[2]], [lines[0], lines[2], lines[1]]]
+    box = lambda host, n: "".join(turned[n // 3 % 3 if host == "b" else 0]) if n % 3 == 0 else ""
+    rows = [(n + 100 * (host == "b"), f"http://{host}/", page.format(n=n, box=box(host, n))) for host in "ab" for n in range(36)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Story {n}" for n in range(36))
+    said = lambda n: [x[3:-4] for x in turned[n // 3 % 3]] if n % 3 == 0 else []
+    assert all(got[100 + n] == "\n\n".join([f"Story {n}", *said(n)]) for n in range(36))
