@@ -175,6 +175,22 @@ def test_scores_of_doubled_totals_match_their_sql(spark, tmp_path):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, due.fetchall()))
 
 
+def test_scores_of_totals_with_exponents_match_their_sql(spark, tmp_path):
+    """Spark writes doubles from ten million with an exponent, in the truth and in the answer's JSON."""
+    duckdb = pytest.importorskip("duckdb")
+    totals = [5000000.0, 6543210.5, 9999999.99, 10000000.0, 12345678.9, 12999999.95, 123456789012.34]
+    orders = [(20 * i + k, 7, datetime.date(1995, 3, 1 + i), t) for i, t in enumerate(totals) for k in range(5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "Customer#000000007")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    db = duckdb.connect()
+    for name in ("orders", "customer"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("agg_failure_modes", "agg_field_scores", "agg_field_maps"):
+        due = db.sql(queries.SQL[name])
+        got = queries.QUERIES[name](spark, str(tmp_path)).select(*due.columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, due.fetchall()))
+
+
 def test_summary_levels_and_reports(spark):
     rows = spark.createDataFrame([("r", "easy", 1.0), ("r", "hard", 3.0), ("i", "easy", None)], "domain string, difficulty string, m double")
     got = stats.summarize(rows, ["m"])
